@@ -1,0 +1,76 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from readloom.llm import surrogates as S
+from readloom.llm.common import Scratch
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(s))) % 10
+
+
+def run(spark, texts, **kw):
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, n_entities int, kind string")
+    out = S.with_surrogates(docs, **kw)
+    assert out.columns == ["doc_id", "text", "kind", "n_entities"]
+    return {r.doc_id: r for r in out.collect()}
+
+
+def test_kinds_keep_their_form(spark):
+    texts = [
+        "Mail a.b+c@Mail7.example.com. or A.B+C@mail7.example.COM, call +1 (988) 555-2485 or +1-988-555-2485 now.",
+        "card 4337166598464399 bad 9807915762804490 spaced 4337-1665-9846-4399",
+        "ip 97.51.17.173. and 999.1.1.1 ver 1.2.3.4.5",
+        "Dear Mr John Smith, Mrs Anna Smith and Herr JOHN SMITH. господин Иван Петров",
+        'GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432 ssn 123-45-6789 token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"',
+        None, "", "nothing here 2024 (1999) 12 a@b", "x" * 300_000 + " 1" * 100_000,
+    ]
+    got = run(spark, texts)
+    mail = re.findall(r"\S+@[a-zA-Z0-9.]+[a-zA-Z]", got[0].text)
+    assert len(mail) == 2 and mail[0].lower() == mail[1].lower() and "mail7" not in got[0].text
+    phones = re.findall(r"\+1[ -]\(?\d{3}\)?[ -]\d{3}-\d{4}", got[0].text)
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1 and "9885552485" not in re.sub(r"\D", "", got[0].text)
+    a, bad, b = re.findall(r"\d[\d-]{15,}", got[1].text)
+    assert bad == "9807915762804490" and a == b.replace("-", "") != "4337166598464399" and luhn(a) == 0 and a[0] == "4"
+    assert "999.1.1.1 ver 1.2.3.4.5" in got[2].text and "97.51.17.173" not in got[2].text
+    assert all(0 < int(x) < 255 for x in re.search(r"ip (\d+)\.(\d+)\.(\d+)\.(\d+)\.", got[2].text).groups())
+    john, smith = re.match(r"Dear Mr (\w+) (\w+), ", got[3].text).groups()
+    assert f"Herr {john.upper()} {smith.upper()}." in got[3].text and re.search(rf"Mrs \w+na {smith} ", got[3].text) and john[-1] in "nrsl"
+    assert re.search(r"господин [А-я]+[нрсл] [А-я]+$", got[3].text) and "Иван" not in got[3].text
+    iban = re.findall(r"GB\d\d[A-Z0-9 ]+", got[4].text)
+    assert iban[0].strip().replace(" ", "") == iban[1].split(" ")[0]
+    assert int("".join(str(int(c, 36)) for c in iban[1].split(" ")[0][4:] + iban[1].split(" ")[0][:4])) % 97 == 1
+    assert re.search(r'token = "[0-9a-f]{40}"', got[4].text) and "0b96a8" not in got[4].text
+    assert (got[5].text, got[5].n_entities) == (None, 0)
+    assert [got[i].text for i in (6, 7, 8)] == texts[6:9] and got[8].n_entities == 0
+    assert [got[i].n_entities for i in range(5)] == [4, 2, 1, 8, 4]
+    assert run(spark, texts)[0].text == got[0].text != run(spark, texts, key="another")[0].text
+
+
+def test_distinct_stay_distinct_under_collisions(spark):
+    # local parts of one character: few draws, so that many collide
+    names = [f"{c}@m.org" for c in "abcdefghijklmnop0123456789"] + [f"{a}{b}@m.org" for a in "abc" for b in "0123456789"]
+    texts = [f"from {x} to {x.upper()}" for x in names] + ["plain"]
+    for limit in (S.MOVED_LIMIT, 0):
+        S.MOVED_LIMIT, kept = limit, S.MOVED_LIMIT
+        got = run(spark, texts)
+        S.MOVED_LIMIT = kept
+        pairs = [re.fullmatch(r"from (\S+) to (\S+)", got[i].text).groups() for i in range(len(names))]
+        assert all(a == b.lower() for a, b in pairs)
+        assert len({a for a, _ in pairs}) == len(names) and not {a for a, _ in pairs} & set(names)
+        assert got[len(names)].text == "plain"
+    found = spark.createDataFrame([("email", x) for x in names], "kind string, canon string")
+    assert S.moved_entities(Scratch(spark), found, "readloom").count() > 0
+
+
+def test_rows_are_kept_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a@b.org"), (1, "a@b.org"), (None, "a@b.org")], "doc_id bigint, text string")
+    got = S.with_surrogates(docs).collect()
+    assert len(got) == 3 and len({r.text for r in got}) == 1
+    assert S.with_surrogates(docs.limit(0)).count() == 0
+    rng = random.Random(1)
+    many = spark.createDataFrame([(i, f"ip {rng.randrange(1, 255)}.1.2.{i % 250}") for i in range(500)], "doc_id bigint, text string")
+    out = many.withColumnRenamed("text", "was").join(S.with_surrogates(many), "doc_id")
+    assert out.agg(F.countDistinct("was"), F.countDistinct("text")).first()[0] == out.agg(F.countDistinct("text")).first()[0]
