@@ -1,11 +1,74 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline over ``documents``: what is of low quality goes, one
+document of each near-duplicate group stays, documents with benchmark passages
+go, personal data is replaced, and what is left is packed.
+
+Stages are functions of (spark, docs, sf_dir); :func:`run` writes what each
+returns to the shared folder and reads it again as the docs of the next.
+Every stage keeps the rows that its operator does not speak against, null
+texts and ids included.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from readloom.llm.common import Scratch, table
+from readloom.llm.decontaminate import contaminated
+from readloom.llm.packing import best_fit_packing
+from readloom.llm.rule_quality import rule_quality
+from readloom.llm.simhash import simhash_components
+from readloom.llm.surrogates import with_surrogates
+
+#: Rows that are looked up by broadcast; more are joined.
+LOOKUP_LIMIT = 1_000_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble predicts to be of label 1."""
+    return rule_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each SimHash component."""
+    scratch = Scratch(spark)
+    found = scratch.cut(simhash_components(docs).select("doc_id", "component_id"))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = _without(docs, scratch.cut(gone), F.col("doc_id").eqNullSafe(F.col("_id")))
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
+    return kept if repeated else kept.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window is similar to a benchmark item."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return _without(docs, Scratch(spark).cut(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in place of personal data."""
+    out = with_surrogates(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in bins."""
+    return best_fit_packing(docs)
+
+
+def _without(docs: DataFrame, gone: DataFrame, same) -> DataFrame:
+    """docs but for those that have a row in gone, a table of keys."""
+    return docs.join(F.broadcast(gone) if gone.count() <= LOOKUP_LIMIT else gone, same, "left_anti")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("pack", pack)]
+
+#: Keyed hashes, SimHash components and trained rules are not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
