@@ -3,6 +3,7 @@ written there to cut lineage, and connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of plans that nothing holds any
+        more; call it where a large exchange has been cut."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, frame: DataFrame) -> None:
         path = self._paths.pop(id(frame), None)
         if path:
