@@ -42,7 +42,25 @@ _PARTS = "SUM(CAST(ascii(substr(h, {0}, 1)) AS BIGINT) * 256 + ascii(substr(h, {
 _GROUPS = f"(SELECT read_id @DIV 100 AS group_id, count(*) AS n, sum(length(name)) AS nb, sum(length(seq)) AS sb, sum(length(qual)) AS qb FROM reads GROUP BY read_id @DIV 100)"
 _ENT = "(SELECT substr(p, i, {k}) AS ctx, substr(p, i + {k}, 1) AS sym FROM (SELECT p, @EX(length(p) - {k})@ AS i FROM (SELECT concat(repeat('A', {k}), regexp_replace(seq, '[^ACGT]', ''@ALL)) AS p FROM reads) AS pp WHERE length(p) > {k}))".format
 _TOK = "(SELECT read_id, t, @EX(len_t)@ AS i FROM (SELECT read_id, regexp_extract_all(name, '[0-9]+|[^0-9]+', 0) AS t, LEN(regexp_extract_all(name, '[0-9]+|[^0-9]+', 0)) AS len_t FROM reads))"
-_SHARED = f"(SELECT a.read_id AS q, b.read_id AS t, count(*) AS n FROM {_C15O} a JOIN {_C15O} b ON a.canon = b.canon AND a.read_id <> b.read_id GROUP BY a.read_id, b.read_id HAVING count(*) >= 3)"
+#: Window minimizers of canonical k-mers: of ten in a row the one with the
+#: smallest digest, of equal ones the last; (h, pos, strand) is unpacked from one
+#: string so that a single window function keeps the three together.
+_SKETCH = """(SELECT read_id, substr(m, 1, 32) AS h, 1000000000000 - CAST(substr(m, 33, 13) AS BIGINT) AS pos, substr(m, 46, 1) AS strand FROM (
+  SELECT read_id, i, m, lag(substr(m, 1, 32)) OVER (PARTITION BY read_id ORDER BY i) AS p FROM (
+    SELECT read_id, i, min(concat(md5(canon), lpad(CAST(1000000000000 - i AS STRING), 13, '0'), CASE WHEN f = canon THEN '+' ELSE '-' END)) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m
+    FROM {}) WHERE i >= 10) WHERE p IS NULL OR p <> substr(m, 1, 32))""".format
+#: CTEs of the seed index: seeds; counts of a hash; the counts' histogram, whose
+#: running sum tells from which count on hashes are among the floor(0.0002 *
+#: distinct) most frequent, so no window spans all hashes; those hashes; and the
+#: occurrences that stay, at most 512 of a hash in even strides.
+_INDEXED = """seeds AS (SELECT * FROM {seeds} AS sk), counts AS (SELECT h, count(*) AS n FROM seeds GROUP BY h),
+  total AS (SELECT CAST(floor(0.0002 * count(*)) AS BIGINT) AS k FROM counts), hist AS (SELECT n, count(*) AS c FROM counts GROUP BY n),
+  cut AS (SELECT n, c, before, k FROM (SELECT n, c, sum(c) OVER (ORDER BY n DESC) - c AS before FROM hist) AS hb CROSS JOIN total WHERE before < k),
+  frequent AS (SELECT h FROM (SELECT s.h, t.k - t.before AS room, t.c, row_number() OVER (PARTITION BY s.n ORDER BY s.h) AS rn FROM counts s JOIN cut t ON s.n = t.n) WHERE c <= room OR rn <= room),
+  entries AS (SELECT h, read_id, pos, strand FROM (SELECT s.h, s.read_id, s.pos, s.strand, row_number() OVER (PARTITION BY s.h ORDER BY s.read_id, s.pos) AS rn, count(*) OVER (PARTITION BY s.h) AS n
+    FROM seeds s LEFT JOIN frequent f ON s.h = f.h WHERE f.h IS NULL) WHERE (rn - 1) % CAST(ceil(n / 512.0) AS INT) = 0)""".format
+_INDEX_O = _INDEXED(seeds=_SKETCH(_C15O))
+_SHARED = "SELECT q.read_id AS q, t.read_id AS t, count(*) AS n FROM seeds q JOIN entries t ON q.h = t.h AND q.read_id <> t.read_id GROUP BY q.read_id, t.read_id HAVING count(*) >= 3"
 
 PLANS: dict[str, str] = {
     # scans, sinks and reports
@@ -80,9 +98,9 @@ PLANS: dict[str, str] = {
     "j01_mate_zip": "SELECT a.spot, a.name AS name1, b.name AS name2, length(a.seq) = length(b.seq) AS same_len FROM (SELECT read_id @DIV 2 AS spot, name, seq FROM reads WHERE read_id % 2 = 0) a FULL OUTER JOIN (SELECT read_id @DIV 2 AS spot, name, seq FROM reads WHERE read_id % 2 = 1) b ON a.spot = b.spot",
     "j02_distortion_lockstep": f"SELECT round(avg(d), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round(100.0 * count(CASE WHEN d > 0 THEN 1 END) / count(*), 6) AS pct FROM {_DIFF} AS x",
     "j03_distortion_by_name": f"SELECT {B('count(*)')} AS matched, {B('sum(CASE WHEN o.qual = r.rt THEN 1 ELSE 0 END)')} AS same FROM reads o JOIN (SELECT name, max_by(rt, read_id) AS rt FROM (SELECT read_id, name, {binned('bin4')} AS rt FROM reads) GROUP BY name) r ON o.name = r.name",
-    "j04_shared_seeds": f"SELECT q, t, {B('n')} AS n FROM (SELECT q, t, n, row_number() OVER (PARTITION BY q ORDER BY n DESC, t) AS rn FROM {_SHARED}) WHERE rn <= 5",
-    "j05_fanout_cap": f"SELECT canon, read_id, {B('i')} AS i FROM (SELECT canon, read_id, i, row_number() OVER (PARTITION BY canon ORDER BY read_id, i) AS rn, count(*) OVER (PARTITION BY canon) AS n FROM {_C15}) WHERE (rn - 1) % CAST(ceil(n / 16.0) AS INT) = 0",
-    "j06_repeat_filter": f"WITH c AS (SELECT canon, count(*) AS n FROM {_C15} GROUP BY canon), r AS (SELECT canon, n, row_number() OVER (ORDER BY n DESC, canon) AS rn FROM c), d AS (SELECT CAST(floor(0.0002 * count(*)) AS BIGINT) AS k FROM c) SELECT canon, {B('n')} AS n FROM r WHERE rn > (SELECT k FROM d)",
+    "j04_shared_seeds": f"WITH {_INDEX_O} SELECT q, t, {B('n')} AS n FROM (SELECT q, t, n, row_number() OVER (PARTITION BY q ORDER BY n DESC, t) AS rn FROM ({_SHARED})) WHERE rn <= 5",
+    "j05_fanout_cap": f"WITH {_INDEX_O} SELECT h, read_id, {B('pos')} AS pos, strand FROM entries",
+    "j06_repeat_filter": f"WITH {_INDEX_O} SELECT c.h, {B('c.n')} AS n FROM counts c LEFT JOIN frequent f ON c.h = f.h WHERE f.h IS NULL",
     "j07_unpermute": f"WITH o AS ({_ORDERED}) SELECT o.pos, r.read_id, r.seq = CASE WHEN o.flip = 1 THEN {_RC('o.oriented')} ELSE o.oriented END AS restored FROM o JOIN reads_overlap r ON o.read_id = r.read_id",
     "j10_as_of_chunk": f"SELECT read_id, {B('max(gstart)')} AS gstart FROM reads r JOIN (SELECT read_id AS gstart FROM reads WHERE read_id % 64 = 0) g ON g.gstart <= r.read_id AND g.gstart > r.read_id - 64 GROUP BY read_id",
     "j13_platform_mix": f"SELECT grp, {B('count(DISTINCT p)')} AS platforms, count(DISTINCT p) <= 1 AS consistent FROM (SELECT read_id % 5 AS grp, {_PLATFORM} AS p FROM reads) WHERE p <> 'unknown' GROUP BY grp",
@@ -126,13 +144,13 @@ PLANS: dict[str, str] = {
     "w07_syncmers": f"SELECT read_id, {B('i')} AS i, f FROM (SELECT k.read_id, k.i, k.f, min(md5(substr(k.f, j, 5))) AS m FROM (SELECT read_id, i, f, @EX(11)@ AS j FROM {_KMER(15)}) k GROUP BY k.read_id, k.i, k.f) WHERE m = md5(substr(f, 1, 5)) OR m = md5(substr(f, 11, 5))",
     "w08_homopolymer": f"SELECT read_id, {B('i')} AS i, {B('least(7, count(*) OVER (PARTITION BY read_id, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS run FROM (SELECT read_id, i, sum(new) OVER (PARTITION BY read_id ORDER BY i) AS g FROM (SELECT read_id, i, CASE WHEN b = lag(b) OVER (PARTITION BY read_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM {_BASE}))",
     "w09_quality_context": f"SELECT read_id, {B('i')} AS i, CAST(q1 AS INT) AS q1, CAST(q2 @DIV 4 AS INT) AS q2, CAST(q3 @DIV 16 AS INT) AS q3, {B('least(3, sum(CASE WHEN q1 <> q2 THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS delta FROM (SELECT read_id, i, coalesce(lag(q, 1) OVER w, 0) AS q1, coalesce(lag(q, 2) OVER w, 0) AS q2, coalesce(lag(q, 3) OVER w, 0) AS q3 FROM {_QUALS} WINDOW w AS (PARTITION BY read_id ORDER BY i))",
-    "w10_rank_truncate": f"SELECT q, t, {B('n')} AS n FROM (SELECT q, t, n, row_number() OVER (PARTITION BY q ORDER BY n DESC, t) AS rn FROM {_SHARED}) WHERE rn <= 512",
+    "w10_rank_truncate": f"WITH {_INDEX_O} SELECT q, t, {B('n')} AS n FROM (SELECT q, t, n, row_number() OVER (PARTITION BY q ORDER BY n DESC, t) AS rn FROM ({_SHARED})) WHERE rn <= 512",
     "w11_equal_chunks": f"SELECT {B('least(7, (upto - len) * 8 @DIV total)')} AS chunk, {B('count(*)')} AS reads FROM (SELECT length(seq) AS len, sum(length(seq)) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(length(seq)) OVER () AS total FROM reads) GROUP BY least(7, (upto - len) * 8 @DIV total)",
     "w12_min_canonical": f"SELECT read_id, canon, {B('i - 1')} AS pos, flip FROM {_MIN(_C15)} AS m WHERE rn = 1",
     # sorts, limits and sets
     "o01_cluster_order": f"SELECT read_id, canon, flip, {B('anchor')} AS anchor, {B('pos')} AS pos FROM ({_ORDERED})",
     "o02_apply_order": f"SELECT {B('pos')} AS pos, read_id, oriented AS seq FROM ({_ORDERED})",
-    "o03_sorted_anchors": f"SELECT a.read_id AS q, b.read_id AS t, {B('b.i')} AS tpos, {B('a.i')} AS qpos FROM {_C15O} a JOIN {_C15O} b ON a.canon = b.canon AND a.read_id <> b.read_id WHERE a.read_id < 20 ORDER BY t, tpos, qpos",
+    "o03_sorted_anchors": f"WITH {_INDEXED(seeds=_SKETCH(_C15))} SELECT q, {B('count(*)')} AS anchors, {B('sum(rn * (tpos * 1000 + qpos))')} AS order_digest FROM (SELECT a.read_id AS q, b.pos AS tpos, a.pos AS qpos, row_number() OVER (PARTITION BY a.read_id ORDER BY b.read_id, a.strand = b.strand, b.pos, a.pos) AS rn FROM seeds a JOIN entries b ON a.h = b.h AND a.read_id <> b.read_id) GROUP BY q",
     "o04_distinct_count": f"SELECT {B('count(*)')} AS n FROM (SELECT DISTINCT canon FROM {_C15} AS c)",
     "o05_dual_cap": "SELECT read_id FROM (SELECT read_id, coalesce(sum(length(seq)) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM reads) WHERE read_id < 300 AND seen < 16000",
     "o06_peek": "SELECT read_id, name FROM reads WHERE read_id < 16",
@@ -155,7 +173,7 @@ PLANS: dict[str, str] = {
     "f11_zero_pad": "SELECT read_id, lpad(CAST(read_id AS STRING), CAST(greatest(6, length(CAST(read_id AS STRING))) AS INT), '0') AS padded FROM reads",
     "f12_template": f"SELECT read_id % 5 AS grammar, {B('count(DISTINCT t)')} AS shapes FROM (SELECT read_id, regexp_replace(name, '[0-9]+', '#'@ALL) AS t FROM reads) GROUP BY read_id % 5",
     "f13_renumber": "SELECT read_id, concat('SRR1.', CAST(read_id + 1 AS STRING)) AS name FROM reads",
-    "f14_phred": f"SELECT read_id, {B('i')} AS i, CAST(q AS INT) AS q, chr(CAST(q + 33 AS INT)) AS c FROM {_QUALS} AS q WHERE read_id < 500",
+    "f14_phred": f"SELECT read_id, {B('i')} AS i, CAST(q AS INT) AS q, chr(CAST(q + 33 AS INT)) AS c FROM {_QUALS} AS q",
     "f16_ratio": "SELECT group_id, round(CASE WHEN sb = 0 THEN 0 ELSE (nb + sb + qb) * 1.0 / sb END, 6) AS ratio FROM " + _GROUPS + " AS g",
     "f17_raw_bytes": f"SELECT {B('sum(length(name) + length(seq) + length(qual) + 6)')} AS raw_bytes FROM reads",
     "f18_size_format": "SELECT group_id, CASE WHEN v < 1000 THEN concat(CAST(v AS STRING), ' B') ELSE concat(CAST(v @DIV 1000 AS STRING), '.', lpad(CAST(v % 1000 @DIV 10 AS STRING), 2, '0'), ' KB') END AS size FROM (SELECT group_id, CAST(nb AS BIGINT) AS v FROM " + _GROUPS + " AS g)",
