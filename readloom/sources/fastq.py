@@ -1,10 +1,13 @@
-"""FASTQ as a Spark data source: plain files are split by byte ranges, gzip
-files are a partition each; a record belongs to the range it begins in."""
+"""FASTQ as a Spark data source. Plain files are split by byte ranges and BGZF
+files by their blocks; other gzip files are a partition each. A record belongs
+to the range it begins in; in a BGZF file one that begins where a range of
+blocks does belongs to the range before."""
 
 from __future__ import annotations
 
 import gzip
 import io
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -21,8 +24,94 @@ class FastqError(ValueError):
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, split: int, start: int, end: int | None):
-        self.path, self.split, self.start, self.end = path, split, start, end
+    def __init__(self, path: str, split: int, start: int, end: int, kind: str):
+        self.path, self.split, self.start, self.end, self.kind = path, split, start, end, kind
+
+
+def sniff(head: bytes) -> str:
+    """plain, gzip or bgzf, by the first 18 bytes."""
+    if head[:2] != b"\x1f\x8b":
+        return "plain"
+    return "bgzf" if _block_size(head) else "gzip"
+
+
+def _block_size(head: bytes) -> int:
+    """Bytes of the BGZF block that begins with head, 0 if none does."""
+    if len(head) < 18 or head[:3] != b"\x1f\x8b\x08" or not head[3] & 4 or head[12:14] != b"BC":
+        return 0
+    return int.from_bytes(head[16:18], "little") + 1
+
+
+def first_block(stream, start: int, size: int) -> int:
+    """The place of the first BGZF block that begins at start or later: its
+    header is followed by another one or by the end of the file."""
+    stream.seek(start)
+    window = stream.read(1 << 17)  # a block has at most 64 KiB
+    at = window.find(b"\x1f\x8b\x08")
+    while at >= 0:
+        n = _block_size(window[at : at + 18])
+        if n and (start + at + n == size or _block_size(window[at + n : at + n + 18])):
+            return start + at
+        at = window.find(b"\x1f\x8b\x08", at + 1)
+    return size
+
+
+class Blocks(io.RawIOBase):
+    """The text of the BGZF blocks from one on; ``limit`` is the length of the
+    text of those that begin before ``end``, known once they have been read."""
+
+    def __init__(self, stream, first: int, end: int):
+        self.stream, self.first, self.end = stream, first, end
+        self.limit: int | None = None
+        self._restart()
+
+    def _restart(self) -> None:
+        self.at, self.place, self.held = self.first, 0, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.place
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        offset += self.place if whence == 1 else 0
+        if offset < self.place:
+            self._restart()
+        while self.place < offset and self._fill():
+            step = min(len(self.held), offset - self.place)
+            self.held, self.place = self.held[step:], self.place + step
+        return self.place
+
+    def _fill(self) -> bool:
+        while not self.held:
+            if self.at >= self.end and self.limit is None:
+                self.limit = self.place
+            self.stream.seek(self.at)
+            head = self.stream.read(18)
+            if not head:
+                if self.limit is None:
+                    self.limit = self.place
+                return False
+            size = _block_size(head)
+            block = head + self.stream.read(size - 18) if size else b""
+            if not size or len(block) < size:
+                raise FastqError("a BGZF block is damaged or cut off")
+            inflater = zlib.decompressobj(31)
+            self.held = inflater.decompress(block) + inflater.flush()
+            self.at += size
+        return True
+
+    def readinto(self, buffer) -> int:
+        if not self._fill():
+            return 0
+        part = self.held[: len(buffer)]
+        buffer[: len(part)] = part
+        self.held, self.place = self.held[len(part) :], self.place + len(part)
+        return len(part)
 
 
 def _line(raw: bytes) -> bytes:
@@ -50,12 +139,13 @@ def _seek_record(stream, start: int) -> int:
         window.pop(0)
 
 
-def records(stream, start: int = 0, end: int | None = None):
-    """(name, seq, qual) as bytes of the records that begin in the range."""
+def records(stream, start: int = 0, end=lambda: None):
+    """(name, seq, qual) as bytes of the records that begin in the range. end
+    is a function, as it may become known while the stream is read."""
     at = _seek_record(stream, start)
     if start:
         stream.seek(at)
-    while end is None or at < end:
+    while (stop := end()) is None or at < stop:
         lines = [stream.readline() for _ in range(4)]
         if not lines[0]:
             return
@@ -73,22 +163,35 @@ class FastqReader(DataSourceReader):
     def partitions(self):
         store, at = pafs.FileSystem.from_uri(self.path)
         info = store.get_file_info(at)
-        files = [info] if info.type == pafs.FileType.File else sorted((f for f in store.get_file_info(pafs.FileSelector(at, recursive=True)) if f.type == pafs.FileType.File), key=lambda f: f.path)
+        found = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(at, recursive=True))
+        hidden = lambda f: any(p[:1] in "._" for p in f.path.removeprefix(at).strip("/").split("/") if p)
         out = []
-        for f in files:
+        for f in sorted((f for f in found if f.type == pafs.FileType.File and not hidden(f)), key=lambda f: f.path):
             with store.open_input_stream(f.path, compression=None) as s:
-                packed = s.read(2) == b"\x1f\x8b"
-            cuts = [0] if packed else range(0, max(f.size, 1), self.split_bytes)
-            out += [Range(f.path, k, a, None if packed else min(f.size, a + self.split_bytes)) for k, a in enumerate(cuts)]
+                kind = sniff(s.read(18))
+            cuts = [0] if kind == "gzip" else range(0, max(f.size, 1), self.split_bytes)
+            out += [Range(f.path, k, a, f.size if kind == "gzip" else min(f.size, a + self.split_bytes), kind) for k, a in enumerate(cuts)]
         return out
 
-    def read(self, part: Range):
+    def _open(self, part: Range):
+        """(stream, start, end) for records."""
         store, _ = pafs.FileSystem.from_uri(self.path)
         raw = store.open_input_file(part.path)
-        stream = gzip.open(raw) if part.end is None else io.BufferedReader(raw, 1 << 20)
+        if part.kind == "gzip":
+            return gzip.open(raw), 0, lambda: None
+        if part.kind == "plain":
+            return io.BufferedReader(raw, 1 << 20), part.start, lambda: part.end
+        first = first_block(raw, part.start, raw.size()) if part.start else 0
+        blocks = Blocks(raw, first, part.end)
+        if first >= part.end:  # no block begins in the range
+            return io.BytesIO(), 0, lambda: 0
+        return io.BufferedReader(blocks, 1 << 16), min(part.start, 1), lambda: None if blocks.limit is None else blocks.limit + 1
+
+    def read(self, part: Range):
+        stream, start, end = self._open(part)
         rows, nth = [], 0
         with stream:
-            for name, seq, qual in records(stream, part.start, part.end):
+            for name, seq, qual in records(stream, start, end):
                 rows.append((name.decode("latin-1"), seq.decode("latin-1"), qual.decode("latin-1")))
                 if len(rows) == _ROWS:
                     yield self._batch(part, nth, rows)
