@@ -123,3 +123,14 @@ def crc32c_in_order(reads: DataFrame, value: Column, order: str = "read_id") ->
     for r in rows.mapInPandas(run, "first long, crc long, size long").orderBy("first").toLocalIterator():
         crc, size = crc32c_combine(crc, r.crc, r.size), size + r.size
     return crc, size
+
+
+def xxh3_of(column: Column) -> Column:
+    """XXH3 of a string column's UTF-8 as 16 hex digits; null stays null."""
+    import xxhash
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: xxhash.xxh3_64_hexdigest(t.encode()), na_action="ignore")
+
+    return run(column)

@@ -34,6 +34,8 @@ _PLAN = f"""SELECT o.read_id, m.canon, coalesce(m.flip, 0) AS flip,
   CASE WHEN m.canon IS NULL THEN 0 WHEN m.flip = 1 THEN length(o.seq) - (m.i - 1) - 15 ELSE m.i - 1 END AS anchor,
   CASE WHEN m.flip = 1 THEN {_RC('o.seq')} ELSE o.seq END AS oriented
   FROM reads_overlap o LEFT JOIN (SELECT * FROM {_MIN(_C15O)} AS x WHERE rn = 1) m ON o.read_id = m.read_id"""
+#: Orientation and anchor of every read, by its smallest canonical k-mer.
+CLUSTER_PLAN = _PLAN
 _ORDERED = f"SELECT read_id, canon, flip, anchor, oriented, row_number() OVER (ORDER BY CASE WHEN canon IS NULL THEN 1 ELSE 0 END, canon, anchor DESC, oriented, read_id) AS pos FROM ({_PLAN})"
 _PHREDS = f"SELECT read_id, qual, {binned('bin8')} AS rt FROM reads"
 _DIFF = f"(SELECT read_id, abs(ascii(substr(qual, i, 1)) - ascii(substr(rt, i, 1))) AS d FROM (SELECT read_id, qual, rt, @EX(length(qual))@ AS i FROM ({_PHREDS})))"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import kernels
 from .catalog import PLANS
 from .views import to_duckdb, to_spark
 
@@ -15,8 +16,8 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(sql) for name, sql in PLANS.items()}
+    return {name: _query(sql) for name, sql in PLANS.items()} | {f.__name__: f for f in kernels.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: to_duckdb(sql) for name, sql in PLANS.items()}
+    return {name: to_duckdb(sql) for name, sql in PLANS.items()} | kernels.oracles()
