@@ -30,13 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    scratch = Scratch(spark)
-    found = scratch.cut(simhash_components(docs).select("doc_id", "component_id"))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = _without(docs, scratch.cut(gone), F.col("doc_id").eqNullSafe(F.col("_id")))
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
-    return kept if repeated else kept.dropDuplicates(["doc_id"])
+    """One document of each SimHash component: that with the smallest id, null
+    ids last. Documents are told apart by id and text, so that one of a null or
+    repeated id goes only if its own text is near another's; of rows that have
+    both in common one stays."""
+    scratch, key = Scratch(spark), F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+    found = scratch.cut(simhash_components(docs.select(key.alias("_key"), "text"), "_key").select("_key", "component_id"))
+    gone = scratch.cut(found.where("_key <> component_id").select("_key").distinct())
+    marked = _without(docs.withColumn("_mark", key), gone, F.col("_mark") == F.col("_key"))
+    unique = found.groupBy("_key").count().where("count > 1").isEmpty()
+    return (marked if unique else marked.dropDuplicates(["_mark"])).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,15 @@ def test_stages(spark, tmp_path):
     total = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert total == {i: len(r.text.split()) for i, r in got.items()}
     assert sorted(map(tuple, P.run(spark, d).select("doc_id", "piece", "n_tokens").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "n_tokens").collect()))
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(None, one, "x"), (7, one, "x"), (None, two, "x"), (7, two, "y"), (9, three, "x"), (9, three, "y"), (None, None, "x"), (3, None, "x"), (4, "", "x"), (9, three + " end", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = [(r.doc_id, r.text) for r in P.near_dedup(spark, docs, str(tmp_path)).collect()]
+    known = [(7, one), (7, two), (3, None)]
+    assert len(kept) == 4 and set(known) <= set(kept) and [i for i, _ in kept].count(9) == 1
+    assert P.near_dedup(spark, docs.limit(0), str(tmp_path)).count() == 0
+    alone = spark.createDataFrame([(None, one, "x"), (None, two, "x"), (None, one, "z")], docs.schema)
+    assert sorted(r.text for r in P.near_dedup(spark, alone, str(tmp_path)).collect()) == [one, two]
