@@ -185,4 +185,6 @@ def rule_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     own = docs.drop("held_out", "score", "predicted")
     inner = own.select(F.struct(*own.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
     scored = with_features(inner, "_text").withColumn("score", model.score_column())
-    return scored.select("_row.*", held_out("_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    # always true, but not pushed down: a filter on predicted is not made a second evaluation of all statistics
+    once = F.spark_partition_id() >= 0
+    return scored.select("_row.*", held_out("_id", 5, 0).alias("held_out"), "score", ((F.col("score") >= threshold) & once).cast("int").alias("predicted"))
