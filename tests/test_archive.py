@@ -70,3 +70,20 @@ def test_running_statistics_equal_those_of_a_batch(spark, reads, tmp_path):
         spark.catalog.refreshByPath(out)
         assert spark.read.parquet(out).first().reads == sum(i % 3 <= part for i in range(400))
     assert spark.read.parquet(out).first() == content_stats(reads).first()
+
+
+def test_command_line(spark, reads, tmp_path, capsys):
+    from readloom.__main__ import main
+
+    halves = []
+    for m in (0, 1):
+        text = "".join(f"@{n}\n{s}\n+\n{q}\n" for _, n, s, q in ROWS[m::2])
+        (tmp_path / f"{m}.fastq").write_text(text)
+        halves.append(f"file://{tmp_path}/{m}.fastq")
+    a = f"{tmp_path}/a"
+    assert main(["compress", *halves, "-o", a], spark) == 0 and rows(archive.read_archive(spark, a)) == ROWS
+    assert main(["info", a], spark) == 0 and "reads\t400" in capsys.readouterr().out
+    assert main(["verify", a], spark) == 0 and "FAILED" not in capsys.readouterr().out
+    assert main(["decompress", a, "-o", f"{tmp_path}/fa", "--fasta"], spark) == 0
+    text = "".join((tmp_path / "fa" / f).read_text() for f in sorted(os.listdir(tmp_path / "fa")) if f.startswith("part"))
+    assert text == "".join(f">{n}\n{s}\n" for _, n, s, _ in ROWS)
