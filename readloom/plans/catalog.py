@@ -66,7 +66,10 @@ _SHARED = "SELECT q.read_id AS q, t.read_id AS t, count(*) AS n FROM seeds q JOI
 
 PLANS: dict[str, str] = {
     # scans, sinks and reports
-    "s05_lockstep_mates": "SELECT a.read_id, 0 AS member, a.seq FROM reads a JOIN (SELECT read_id FROM reads) b ON a.read_id = b.read_id WHERE a.read_id % 2 = 0",
+    "s05_lockstep_mates": "WITH mates AS (SELECT read_id, read_id @DIV 2 AS spot, read_id % 2 AS mate, seq FROM reads),"
+    " spots AS (SELECT CASE WHEN a.spot IS NULL OR b.spot IS NULL THEN CAST(@ERROR(concat('unequal read counts at spot ', CAST(coalesce(a.spot, b.spot) AS STRING))) AS BIGINT) ELSE a.read_id END AS first_id, a.seq AS first_seq, b.read_id AS second_id, b.seq AS second_seq"
+    " FROM (SELECT * FROM mates WHERE mate = 0) a FULL JOIN (SELECT * FROM mates WHERE mate = 1) b ON a.spot = b.spot)"
+    " SELECT CASE WHEN member = 0 THEN first_id ELSE second_id END AS read_id, member, CASE WHEN member = 0 THEN first_seq ELSE second_seq END AS seq FROM spots CROSS JOIN (SELECT 0 AS member UNION ALL SELECT 1 AS member) AS m",
     "s06_interleaved_spots": f"SELECT read_id, read_id @DIV 4 AS spot_id, read_id % 4 AS member FROM reads",
     "s08_scan_in_order": "SELECT read_id, name, seq, qual FROM reads ORDER BY read_id",
     "s11_sequence_only": "SELECT read_id, seq FROM reads",

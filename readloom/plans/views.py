@@ -4,7 +4,7 @@ A plan is one SQL text over ``reads`` and its kin. Tokens stand for what Spark
 and DuckDB spell differently: ``@EX(n)@`` counts 1 to n in rows, ``@RX`` is
 the regular-expression test, ``@DIV`` divides integers, ``@ALL`` makes
 ``regexp_replace`` replace every match, ``@ARR`` joins an array to a string,
-and ``@S'..'`` is a literal without escapes.
+``@ERROR(text)`` stops the query, and ``@S'..'`` is a literal without escapes.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def _with_views(sql: str) -> str:
 def to_duckdb(sql: str) -> str:
     sql = re.sub(r"@EX\((.*?)\)@", r"unnest(range(1, CAST(\1 AS BIGINT) + 1))", _with_views(sql))
     sql = re.sub(_PLAIN, r"'\1'", sql)
-    return sql.replace("@RX", "regexp_matches").replace("@DIV", "//").replace("@ALL", ", 'g'").replace("@ARR", "array_to_string").replace("@ZERO", "0").replace("@LEN", "len")
+    return sql.replace("@ERROR", "error").replace("@RX", "regexp_matches").replace("@DIV", "//").replace("@ALL", ", 'g'").replace("@ARR", "array_to_string").replace("@ZERO", "0").replace("@LEN", "len")
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -90,7 +90,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def to_spark(sql: str, sf_dir: str) -> str:
     sql = re.sub(r"@EX\((.*?)\)@", r"explode(sequence(1, CAST(\1 AS INT)))", _with_views(sql))
-    sql = sql.replace("@RX", "regexp_like").replace("@DIV", "DIV").replace("@ALL", "").replace("@ARR", "array_join").replace("@ZERO", "(-1)").replace("@LEN", "size")
+    sql = sql.replace("@ERROR", "raise_error").replace("@RX", "regexp_like").replace("@DIV", "DIV").replace("@ALL", "").replace("@ARR", "array_join").replace("@ZERO", "(-1)").replace("@LEN", "size")
     sql = re.sub(r"sha256\((\w+)\)", r"sha2(\1, 256)", sql)
     sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1D", sql)
     sql = re.sub(_PLAIN, lambda m: "'" + m[1].replace("\\", "\\\\").replace("''", "\\'") + "'", sql)

@@ -73,3 +73,14 @@ def test_synthetic_reads_do_not_depend_on_partitions(spark):
         assert a == sorted(map(tuple, synthetic_reads(spark, 20, platform, 20_000).collect()))
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
         assert len(a) == 20 and all(len(s) == len(q) and set(s) <= set("ACGT") for _, _, s, q in a)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_lockstep_gives_both_mates_of_every_spot(spark, tmp_path):
+    query = registry.queries()["s05_lockstep_mates"]
+    reads = {r.read_id: r.seq for r in registry.queries()["s11_sequence_only"](spark, DATA).collect()}
+    assert sorted(map(tuple, query(spark, DATA).select("read_id", "member", "seq").collect())) == sorted((i, i % 2, s) for i, s in reads.items())
+    for k, lost in enumerate((0, max(reads))):
+        spark.read.parquet(f"{DATA}/events.parquet").where(f"event_id <> {lost}").write.parquet(f"{tmp_path}/{k}/events.parquet")
+        with pytest.raises(Exception, match="unequal read counts"):
+            query(spark, f"{tmp_path}/{k}").collect()
