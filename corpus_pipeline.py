@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import Scratch, table
+from readloom.llm.common import Scratch, connected_components, table
 from readloom.llm.decontaminate import contaminated
+from readloom.llm.near_copies import near_copies
 from readloom.llm.packing import best_fit_packing
 from readloom.llm.rule_quality import rule_quality
 from readloom.llm.simhash import simhash_components
@@ -30,12 +31,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id, null
-    ids last. Documents are told apart by id and text, so that one of a null or
+    """One document of each component over SimHash links and near copies (Jaccard
+    0.8 or more of five-word shingles): that with the smallest id, null ids last. Documents are told apart by id and text, so that one of a null or
     repeated id goes only if its own text is near another's; of rows that have
     both in common one stays."""
     scratch, key = Scratch(spark), F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
     found = scratch.cut(simhash_components(docs.select(key.alias("_key"), "text"), "_key").select("_key", "component_id"))
+    links = found.select(F.col("_key.hash").alias("a"), F.col("component_id.hash").alias("b")).unionByName(near_copies(docs.select("text")).toDF("a", "b"))
+    roots = connected_components(scratch, links)
+    found = found.join(roots, F.col("_key.hash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_key.hash"))
+    least = found.groupBy("root").agg(F.min("component_id").alias("least"))
+    found = scratch.cut(found.join(least, "root").select("_key", F.col("least").alias("component_id")))
     gone = scratch.cut(found.where("_key <> component_id").select("_key").distinct())
     marked = _without(docs.withColumn("_mark", key), gone, F.col("_mark") == F.col("_key"))
     unique = found.groupBy("_key").count().where("count > 1").isEmpty()

@@ -71,3 +71,21 @@ def test_near_dedup_of_null_and_repeated_ids(spark, tmp_path):
     assert P.near_dedup(spark, docs.limit(0), str(tmp_path)).count() == 0
     alone = spark.createDataFrame([(None, one, "x"), (None, two, "x"), (None, one, "z")], docs.schema)
     assert sorted(r.text for r in P.near_dedup(spark, alone, str(tmp_path)).collect()) == [one, two]
+
+
+def test_near_dedup_of_edited_texts(spark, tmp_path):
+    rng = random.Random(22)
+    rows = []
+    for i in range(30):
+        base = [f"w{rng.randrange(1 << 30)}" for _ in range(120)]
+        near, far = list(base), list(base)
+        for at in (30, 75):
+            near[at] = f"e{i}"  # 106 of 126 shingles
+        for at in (20, 45, 70, 95):
+            far[at] = f"f{i}"  # 96 of 136
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    alike = {(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])}
+    assert alike == {(i, i + 1) for i in range(0, 90, 3)}
+    kept = {r.doc_id for r in P.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path)).collect()}
+    assert not kept & {b for _, b in alike} and kept >= {i for i in range(0, 90, 3)}
