@@ -1,13 +1,12 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (md5 of the text, id). A sample drawn in proportion to
-record sizes gives quantile boundaries; records are range-partitioned between
-them, and what is too large for one range, the copies of one text, is cut
-into several by id. Sizes are summed within the ranges and carried over them,
-so that every record knows how many bytes precede it, which fixes its shard:
-shards are equal in bytes. The copies of a text share a shard, unless they
-hold over a hundredth of a shard's bytes; then their own offsets count, record
-by record. The sample decides where ranges end, not where records go.
+Records are ordered by (md5 of the text, id, place in the table). A sample
+drawn in proportion to record sizes gives quantile boundaries, and records are
+range-partitioned between them, the copies of a text first of all together. The
+ranges are measured, and those that are overfull in bytes or rows are
+subdivided by a denser sample of their own, those of a single text by id and
+place, until none is left that can be. Ranges are small against a shard; each
+shard is a run of whole ranges, so the boundaries decide where a record goes.
 """
 
 from __future__ import annotations
@@ -22,77 +21,111 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SHARDS, OVERHEAD = 40, 16
-#: Records of a range aimed at, ranges at most, and sampled keys per range.
-RANGE_ROWS, MAX_RANGES, PER_RANGE = 20_000, 2048, 16
-#: Copies of a text with over this share of a shard's bytes may be parted.
-SPLIT_SHARE = 0.01
+#: Ranges of a shard and rows of a range aimed at; a range with over OVERFULL
+#: times either is subdivided.
+FINE, RANGE_ROWS, OVERFULL = 64, 1_000_000, 2
+#: Sampled keys per range. The driver holds so many for each range, that is one
+#: for 62,500 rows of a large table.
+PER_RANGE = 16
+_LEAST = -(1 << 63)
+_ORDER = ["k", "i", "nth"]
 
 
-def _boundaries(keys: DataFrame, total: int, rows: int, hot: set[int]) -> list[tuple[int, int | None]]:
-    """(k, id) from which a new range begins; id None: from the first of k."""
-    ranges = int(min(MAX_RANGES, max(1, -(-rows // RANGE_ROWS))))
-    draw = F.pmod(F.xxhash64("key", "id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = keys.where(draw * total < F.col("size") * float(ranges * PER_RANGE)).select("k", "id").collect()
-    drawn = sorted((r.k, -(1 << 63) if r.id is None else r.id) for r in drawn)
-    picked = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if drawn else []
-    return sorted({(k, i if k in hot else None) for k, i in picked} | {(k, None) for k in hot}, key=lambda x: (x[0], -(1 << 63) if x[1] is None else x[1]))
+def locate(bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many bounds, sorted rows of three, are at or below each row."""
+    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(bounds), np.int64)
+    while (open_ := low < high).any():
+        mid = np.where(open_, (low + high) // 2, 0)
+        b = bounds[mid]
+        at_or_below = (b[:, 0] < rows[:, 0]) | (b[:, 0] == rows[:, 0]) & ((b[:, 1] < rows[:, 1]) | (b[:, 1] == rows[:, 1]) & (b[:, 2] <= rows[:, 2]))
+        low, high = np.where(open_ & at_or_below, mid + 1, low), np.where(open_ & ~at_or_below, mid, high)
+    return low
 
 
-def _placer(bounds: list[tuple[int, int | None]]):
-    ks = np.array([k for k, _ in bounds], np.int64)
-    ids = np.array([-(1 << 63) if i is None else i for _, i in bounds], np.int64)
+def _placed(keys: DataFrame, bounds: list[tuple[int, int, int]]) -> DataFrame:
+    """keys with part, the range that a record lies in."""
+    known = keys.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64).reshape(-1, 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column("k").to_numpy()
-            i = batch.column("id").fill_null(-(1 << 63)).to_numpy()
-            low, high = np.searchsorted(ks, k, "left"), np.searchsorted(ks, k, "right")
-            at = high.copy()
-            for a, b in {(int(a), int(b)) for a, b in zip(low[low < high], high[low < high], strict=True)}:
-                mine = (low == a) & (high == b)
-                at[mine] = a + np.searchsorted(ids[a:b], i[mine], "right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "part"])
+            rows = np.column_stack([batch.column(c).to_numpy() for c in _ORDER])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(locate(known.value, rows).astype(np.int32))], names=[*batch.schema.names, "part"])
 
-    return run
+    return keys.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in keys.dtypes) + ", part int")
 
 
-def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+def splitters(drawn: list[tuple[tuple[int, int, int], float]]) -> list[tuple[int, int, int]]:
+    """The quantile boundaries of sampled (key, ranges that it stands for);
+    equal keys stay together."""
+    out, held, weights = [], 0.0, {}
+    for key, weight in drawn:
+        weights[key] = weights.get(key, 0.0) + weight
+    for key in sorted(weights):
+        if held and held + weights[key] > 1:
+            out.append(key)
+            held = 0.0
+        held += weights[key]
+    return out
+
+
+def ranges(keys: DataFrame, target_bytes: float, target_rows: float) -> tuple[list[tuple[int, int, int]], list]:
+    """The boundaries, and (part, s, n) of the ranges that have records, so that
+    none has over OVERFULL times a target that can be subdivided."""
+    weight = F.greatest(F.col("size") / target_bytes, F.lit(1 / target_rows))
+    bounds, open_, dense = [], None, PER_RANGE
+    while True:
+        rate = F.least(F.lit(1.0), weight * float(dense))
+        draw = F.pmod(F.xxhash64(*_ORDER, F.lit(dense)), F.lit(1 << 30)) / float(1 << 30)
+        rows = keys if open_ is None else _placed(keys, bounds).where(F.col("part").isin(list(open_)))
+        part = F.lit(0) if open_ is None else F.col("part")
+        drawn: dict[int, list] = {}
+        for r in rows.where(draw < rate).select(part.alias("part"), *_ORDER, (weight / rate).alias("w")).collect():
+            drawn.setdefault(r.part, []).append(((r.k, r.i, r.nth), r.w))
+        for p, sample in drawn.items():
+            single = open_ is not None and open_[p]
+            bounds += splitters(sample if single else [((key[0], _LEAST, _LEAST), w) for key, w in sample])
+        bounds = sorted(set(bounds))
+        held = _placed(keys, bounds).groupBy("part").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1")).collect()
+        open_ = {r.part: r.k0 == r.k1 for r in held if r.n > 1 and (r.s > OVERFULL * target_bytes or r.n > OVERFULL * target_rows)}
+        if dense >= max(target_rows, target_bytes / OVERHEAD):  # every record was drawn
+            open_ = {}
+        if not open_:
+            return bounds, sorted((r.part, r.s, r.n) for r in held)
+        dense *= 8
+
+
+def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard), a row per row
     of docs; id_col is a long.
 
     size: bytes of the UTF-8 text plus 16. slot: 0, 1, .. within a shard, in
-    key order. grown_shard is null, as the law is ``bytes``. Null texts have
-    size 16 and no CRC, and are ordered by their ids' md5; rows that are equal
-    throughout are interchangeable. An empty table gives an empty result;
-    other columns, whatever their names, are not looked at.
+    key order. grown_shard is null, as the law is ``bytes``: a shard holds its
+    even share but for two ranges, a 32nd of it, or one record if that is more.
+    The copies of a text share a shard unless they overfill a range. Null texts have size
+    16 and no CRC, and are ordered by their ids' md5; rows equal in id and text
+    are ordered by their place, so even those of one id are parted where they
+    are many. An empty table gives an empty result; other columns, whatever
+    their names, are not looked at.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     body = F.col(text_col).cast("binary")
     key = F.md5(F.coalesce(body, F.concat(F.lit("null text of "), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")))
-    keys = docs.select(F.col(id_col).alias("id"), key.alias("key"), (F.coalesce(F.octet_length(body), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("crc"))
-    keys = scratch.cut(keys.select("*", F.conv(F.substring("key", 1, 15), 16, 10).cast("long").alias("k")))
+    keys = docs.select(
+        F.col(id_col).cast("long").alias("id"), (F.coalesce(F.octet_length(body), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("crc"),
+        F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("i"), F.monotonically_increasing_id().alias("nth"),
+    )
+    keys = scratch.cut(keys)
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    # Fewer than shards / SPLIT_SHARE texts can be this large.
-    large = [r.key for r in keys.groupBy("key").agg(F.sum("size").alias("s")).where(F.col("s") > SPLIT_SHARE * total / shards).select("key").collect()] if total else []
-    bounds = _boundaries(keys, total, rows, {int(x[:15], 16) for x in large})
-    placed = keys.mapInArrow(_placer(bounds), "id bigint, key string, size bigint, crc bigint, k bigint, part int")
-    before = Window.partitionBy("part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("upto", F.sum("size").over(before)).withColumn("nth", F.count("*").over(before) - 1).withColumn("start", F.col("upto") - F.col("size"))
-    placed = scratch.cut(placed.withColumn("first", F.min("start").over(Window.partitionBy("part", "key"))).drop("k", "upto"))
-    held = sorted(placed.groupBy("part").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect())  # a row per range
-    sums, counts, base, nth = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1), 0, 0
+    bounds, held = ranges(keys, max(1.0, total / (shards * FINE)), float(range_rows)) if rows else ([], [])
+    bases, before, slots = [], 0, [0] * shards
     for part, s, n in held:
-        sums[part], counts[part] = base, nth
-        base, nth = base + s, nth + n
-    at = lambda values: F.lit(np.array(values, np.int64))[F.col("part")]
-    own = F.col("key").isin(large) if large else F.lit(False)
-    offset = at(sums) + F.when(own, F.col("start")).otherwise(F.col("first"))
-    shard = F.least(F.lit(shards - 1), F.floor(offset / F.lit(max(total, 1) / shards))).cast("int")
-    sharded = placed.select("id", "size", "crc", (at(counts) + F.col("nth")).alias("nth"), shard.alias("shard"))
-    first = [0] * shards
-    for r in sharded.groupBy("shard").agg(F.min("nth").alias("n")).collect():
-        first[r["shard"]] = r["n"]
-    return sharded.select(
+        shard = min(shards - 1, int((before + s / 2) * shards // max(total, 1)))
+        bases.append((part, shard, slots[shard]))
+        before, slots[shard] = before + s, slots[shard] + n
+    bases = spark.createDataFrame(bases, "part int, shard int, base long")  # a row per range
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*_ORDER)) - 1
+    numbered = _placed(keys, bounds).select("id", "size", "crc", "part", nth.alias("place"))
+    return numbered.join(F.broadcast(bases), "part").select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-        (F.col("nth") - F.lit(np.array(first, np.int64))[F.col("shard")]).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
