@@ -20,8 +20,12 @@ from .surrogates import with_surrogates
 from .warc import WARC_SQL, warc_round_trip
 
 
+#: Key of the registered query; for private data take one that is secret.
+DEMO_KEY = "public key of the registered query"
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
