@@ -1,9 +1,14 @@
 """Near copies of whole texts: five-word shingles, Jaccard 0.8 or more.
 
 Candidates share one of 16 bands of three min-hashes; at a similarity of 0.8 a
-pair has none in common with a chance of 1e-5. The exact similarity of the
-shingle sets decides. A band value that more than 16 texts share links each of
-them to eight of those instead of to all.
+pair has none in common with a chance of 1e-5. Texts carry the sketch of all 48
+min-hashes; a pair of which fewer than half agree is no candidate, which at 0.8
+happens with a chance below 1e-6. In a band that many texts share, the
+candidates are two spanning forests of largest agreement, apart from one
+another: if two texts are similar, the path between them in such a forest is of
+texts that agree as much or more. Bands of more texts than are compared at once
+are dealt again under further min-hashes. The exact similarity of the shingle
+sets decides.
 """
 
 from __future__ import annotations
@@ -16,62 +21,170 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .substrings import _ODD, SIMILARITY, Shingler, _jaccard, _mix, _pairs_of, _shingle_rows
+from .substrings import _ODD, SIMILARITY, Shingler, _jaccard, _mix
 
 BANDS, ROWS = 16, 3
+#: Texts of a band that are all paired, and that are compared at once.
+ALL_PAIRS, AT_ONCE = 16, 8192
+#: Min-hashes that must agree, and those under which a large band is dealt again.
+AGREE, AGAIN = BANDS * ROWS // 2, 8
+_ROW = "key bigint, depth int, tid bigint, sketch binary"
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The min-hashes of a text."""
+    return np.array([_mix(shingles ^ np.uint64((j + 1) * int(_ODD) & (1 << 64) - 1)).min() for j in range(BANDS * ROWS)], np.uint64)
+
+
+def bands(least: np.ndarray) -> np.ndarray:
     """A hash for each band."""
-    least = [_mix(shingles ^ np.uint64((j + 1) * int(_ODD) & (1 << 64) - 1)).min() for j in range(BANDS * ROWS)]
-    rows = np.array(least, np.uint64).reshape(BANDS, ROWS)
+    rows = least.reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         out = _mix(out * _ODD + rows[:, k])
     return out.view(np.int64)
 
 
+def _rows(keys, depth, tids, sketches) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(depth, pa.int32()), pa.array(tids, pa.int64()), pa.array(sketches, pa.binary())], names=["key", "depth", "tid", "sketch"])
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
-        ids, out = [], []
+        keys, tids, held = [], [], []
         for tid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             shingles = shingler(text.as_py())
             if len(shingles):
-                ids.append(tid)
-                out.append(bands(shingles))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(ids, BANDS), pa.int64())], names=["band", "tid"])
-
-
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rest = np.empty((0, 2), np.int64)
-
-    def solve(rows: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-        left, right = _pairs_of(np.diff(np.append(cut, len(rows))))
-        return pa.RecordBatch.from_arrays([pa.array(rows[left, 1]), pa.array(rows[right, 1])], names=["x", "y"])
-
-    for batch in batches:
-        rows = np.concatenate([rest, np.column_stack([c.to_numpy() for c in batch.columns])])
-        if len(rows):
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if last:
-                yield solve(rows[:last])
-            rest = rows[last:]
-    if len(rest):
-        yield solve(rest)
-
-
-def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+                least = sketch(shingles)
+                keys += bands(least).tolist()
+                tids += [tid] * BANDS
+                held += [least.astype(np.uint16).tobytes()] * BANDS
+        yield _rows(keys, [0] * len(keys), tids, held)
+
+
+def forest(sketches: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
+    """For each row the earlier reached row that it is tied to, in a spanning
+    forest of largest agreement over pairs that agree in AGREE places or more;
+    -1 for a tree's first. left_out: ties of another forest, that are not taken."""
+    n = len(sketches)
+    best, tie, open_ = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.ones(n, bool)
+    for _ in range(n):
+        i = int(np.where(open_, best, -2).argmax())
+        if best[i] < AGREE:
+            tie[i] = -1
+        open_[i] = False
+        agree = (sketches == sketches[i]).sum(axis=1)
+        if left_out is not None:
+            agree[left_out == i] = 0
+            if left_out[i] >= 0:
+                agree[left_out[i]] = 0
+        nearer = open_ & (agree > best) & (agree >= AGREE)
+        best[nearer], tie[nearer] = agree[nearer], i
+    return tie
+
+
+def group_pairs(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(sketches)
+    if n <= ALL_PAIRS:
+        i, j = np.triu_indices(n, 1)
+        ok = (sketches[i] == sketches[j]).sum(axis=1) >= AGREE
+        return i[ok], j[ok]
+    one = forest(sketches)
+    two = forest(sketches, one)
+    i = np.concatenate([np.flatnonzero(one >= 0), np.flatnonzero(two >= 0)])
+    return i, np.concatenate([one[one >= 0], two[two >= 0]])
+
+
+def _pair_rows(at_once: int):
+    """Rows (x, y, and null or a row to be dealt again) of rows sorted by key."""
+    names = ["x", "y", "key", "depth", "tid", "sketch"]
+
+    def found(x, y) -> pa.RecordBatch:
+        none = lambda t: pa.nulls(len(x), t)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.binary())], names=names)
+
+    def again(part: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
+        tids, depth, key = part.column("tid").to_numpy(), part.column("depth")[0].as_py(), part.column("key")[0].as_py()
+        if (depth + 1) * AGAIN > BANDS * ROWS:  # what agrees in all places is compared with one
+            yield found(tids, np.full(len(tids), first, np.int64))
+            return
+        held = part.column("sketch").to_pylist()
+        for at in range(0, len(held), 4096):
+            some = np.frombuffer(b"".join(held[at : at + 4096]), np.uint16).reshape(-1, BANDS * ROWS)[:, depth * AGAIN : (depth + 1) * AGAIN]
+            keys = _mix(np.uint64(key & (1 << 64) - 1) * _ODD + some.astype(np.uint64) * np.uint64(AGAIN) + np.arange(AGAIN, dtype=np.uint64)).view(np.int64)
+            n = len(some) * AGAIN
+            rows = _rows(keys.ravel(), [depth + 1] * n, np.repeat(tids[at : at + 4096], AGAIN), [v for v in held[at : at + 4096] for _ in range(AGAIN)])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *rows.columns], names=names)
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, tids = table.column("key").to_numpy(), table.column("tid").to_numpy()
+        cuts = [*np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist(), len(key)]
+        x, y = [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                sketches = np.frombuffer(b"".join(table.column("sketch").slice(a, b - a).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+                i, j = group_pairs(sketches)
+                x.append(tids[a + i])
+                y.append(tids[a + j])
+        if x:
+            yield found(np.concatenate(x), np.concatenate(y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            while held is not None and len(held):
+                key = held.column("key").to_numpy()
+                if large is not None:
+                    end = int(np.searchsorted(key != large[0], True))
+                    if end:
+                        yield from again(held.slice(0, end), large[1])
+                    held = held.slice(end)
+                    if len(held):
+                        large = None
+                        continue
+                    break
+                last = int(np.flatnonzero(key == key[-1])[0])
+                if last:
+                    yield from solve(held.slice(0, last).combine_chunks())
+                    held = held.slice(last)
+                if len(held) > at_once:
+                    large = (int(key[-1]), held.column("tid")[0].as_py())
+                    continue
+                break
+        if held is not None and len(held):
+            yield from solve(held.combine_chunks())
+
+    return run
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, at_once: int = AT_ONCE) -> DataFrame:
     """(x, y): pairs of different texts, known by xxhash64, whose closure is
     that of the near copies. Texts of fewer than five words match nothing."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("tid"), F.col(text_col).cast("binary").alias("text"))
-    dealt = texts.mapInArrow(_band_rows, "band bigint, tid bigint").distinct().repartition("band").sortWithinPartitions("band", "tid")
-    pairs = scratch.cut(dealt.mapInArrow(_pair_rows, "x bigint, y bigint").distinct())
+    rows, pairs = texts.mapInArrow(_band_rows, _ROW).dropDuplicates(["key", "tid"]), None
+    while True:
+        dealt = rows.repartition("key").sortWithinPartitions("key", "tid")
+        found = scratch.cut(dealt.mapInArrow(_pair_rows(at_once), "x bigint, y bigint, " + _ROW))
+        here = found.where("x <> y").select("x", "y")
+        pairs = here if pairs is None else pairs.unionByName(here)
+        rows = found.where("key is not null").select("key", "depth", "tid", "sketch")
+        if rows.isEmpty():
+            break
+    pairs = scratch.cut(pairs.distinct())
     ids = pairs.select(F.explode(F.array("x", "y")).alias("tid")).distinct()
-    arrays = scratch.cut(texts.join(ids, "tid", "left_semi").mapInArrow(_shingle_rows, "tid bigint, sh array<int>").groupBy("tid").agg(F.first("sh").alias("sh")))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            held = [shingler(t.as_py()).view(np.int64) for t in batch.column(1)]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in held]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*held, np.empty(0, np.int64)])))], names=["tid", "sh"])
+
+    arrays = scratch.cut(texts.join(ids, "tid", "left_semi").dropDuplicates(["tid"]).mapInArrow(shingles, "tid bigint, sh array<bigint>"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,4 +192,6 @@ def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = SIM
             yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(arrays.select(F.col("tid").alias("x"), F.col("sh").alias("xs")), "x").join(arrays.select(F.col("tid").alias("y"), F.col("sh").alias("ys")), "y")
-    return scratch.cut(both.select("x", "y", "xs", "ys").mapInArrow(check, "x bigint, y bigint"))
+    out = scratch.cut(both.select("x", "y", "xs", "ys").mapInArrow(check, "x bigint, y bigint"))
+    scratch.drop(arrays)
+    return out
