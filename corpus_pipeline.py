@@ -23,18 +23,33 @@ from readloom.llm.surrogates import with_surrogates
 
 #: Rows that are looked up by broadcast; more are joined.
 LOOKUP_LIMIT = 1_000_000
+#: Key of the surrogates; for private data take one that is secret.
+KEY = "public key of the registered pipeline"
+
+
+def _packed(docs: DataFrame, *more) -> DataFrame:
+    """docs as one column _row, so that no column's name can meet another's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
+
+
+def _as(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    return frame.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble predicts to be of label 1."""
-    return rule_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    """Documents that the rule ensemble predicts to be of label 1, a null text
+    as an empty one. Without labels of both kinds all stay."""
+    scored = rule_quality(_packed(docs, F.col("doc_id"), F.col("text")), table(spark, sf_dir, "labels"))
+    return _as(scored.where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component over SimHash links and near copies (Jaccard
-    0.8 or more of five-word shingles): that with the smallest id, null ids last. Documents are told apart by id and text, so that one of a null or
-    repeated id goes only if its own text is near another's; of rows that have
-    both in common one stays."""
+    0.8 or more of five-word shingles): that with the smallest id, null ids
+    last. Documents are told apart by id and text, so that one of a null or
+    repeated id goes only if its own text is near another's. Null and wordless
+    texts are copies of one another. Of rows that have id and text in common
+    the least stays, by all columns as JSON in their order."""
     scratch, key = Scratch(spark), F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
     found = scratch.cut(simhash_components(docs.select(key.alias("_key"), "text"), "_key").select("_key", "component_id"))
     links = found.select(F.col("_key.hash").alias("a"), F.col("component_id.hash").alias("b")).unionByName(near_copies(docs.select("text")).toDF("a", "b"))
@@ -42,27 +57,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = found.join(roots, F.col("_key.hash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_key.hash"))
     least = found.groupBy("root").agg(F.min("component_id").alias("least"))
     found = scratch.cut(found.join(least, "root").select("_key", F.col("least").alias("component_id")))
-    gone = scratch.cut(found.where("_key <> component_id").select("_key").distinct())
-    marked = _without(docs.withColumn("_mark", key), gone, F.col("_mark") == F.col("_key"))
-    unique = found.groupBy("_key").count().where("count > 1").isEmpty()
-    return (marked if unique else marked.dropDuplicates(["_mark"])).select(*docs.columns)
+    gone = scratch.cut(found.where("_key <> component_id").select(F.col("_key").alias("_gone")).distinct())
+    kept = _without(_packed(docs, key.alias("_mark")), gone, F.col("_mark") == F.col("_gone"))
+    if not found.groupBy("_key").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("_json", F.to_json("_row", {"ignoreNullFields": "false"})).groupBy("_mark").agg(F.min_by("_row", "_json").alias("_row"))
+    return _as(kept, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window is similar to a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return _without(docs, Scratch(spark).cut(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    """Documents in which no window is similar to a benchmark item; null texts
+    stay."""
+    found = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    marked = _packed(docs, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    return _as(_without(marked, Scratch(spark).cut(found), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash"))), docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in place of personal data."""
-    out = with_surrogates(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else out
+    """All documents, with surrogates in place of personal data; n_chars, if
+    there is one, is that of the new text."""
+    out = with_surrogates(_packed(docs, F.col("text").alias("_text")), KEY, text_col="_text", count_col="_entities")
+    new = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")}
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in bins."""
-    return best_fit_packing(docs)
+    return best_fit_packing(docs.select("doc_id", "text", "source"))
 
 
 def _without(docs: DataFrame, gone: DataFrame, same) -> DataFrame:
