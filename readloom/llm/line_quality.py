@@ -77,6 +77,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
             hashed.alias("_hashed"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
 
@@ -101,11 +102,11 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession)
     base = scratch.cut(_measured(docs, id_col, text_col, host_col))
     often = frequent_lines(base, max_docs).withColumnsRenamed({"_host": "_h"}).select("_h", "h")
-    lines = base.select("_id", "_host", F.explode(F.array_distinct(F.transform("_hashed", lambda x: x["h"]))).alias("_l"))
+    lines = base.select("_row", "_host", F.explode(F.array_distinct(F.transform("_hashed", lambda x: x["h"]))).alias("_l"))
     hits = lines.join(often, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_l") == F.col("h")), "left_semi")
-    hits = hits.groupBy(F.col("_id").alias("_i"), F.col("_host").alias("_s")).agg(F.collect_set("_l").alias("removed_lines"))
+    hits = hits.groupBy("_row").agg(F.collect_set("_l").alias("removed_lines"))
     none = F.array().cast("array<bigint>")
-    joined = base.join(hits, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_host").eqNullSafe(F.col("_s")), "left").withColumn("removed_lines", F.coalesce("removed_lines", none))
+    joined = base.join(hits, "_row", "left").withColumn("removed_lines", F.coalesce("removed_lines", none))
     gone = F.filter("_hashed", lambda x: F.array_contains(F.col("removed_lines"), x["h"]))
     left = F.col("n_words") - F.aggregate(F.col("_gone"), F.lit(0), lambda a, x: a + x["n"])
     return (

@@ -20,11 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .line_quality import word_array
 
 CAPACITY = 2048
 #: Documents of a group, on average.
 GROUP_DOCS = 4096
+#: Times GROUP_DOCS from which on a group, that is rows of equal id and text, is
+#: dealt out again by the rows' places in the table.
+HOT = 4
 _SPAN = 1 << 32
 
 
@@ -93,16 +97,22 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cluster_col names duplicate clusters; None: texts equal in lower case.
     Pieces of a document conflict with one another by its source and cluster.
     A document without words has one piece of no tokens and a null bin. A null
-    source or text conflicts with none. Repeated ids keep their rows. An empty
-    table gives an empty result; other columns are not looked at.
+    source or text conflicts with none. Repeated ids keep their rows; rows that
+    are equal in id and text are of one group, or of several if they are many.
+    Texts of any length are cut into pieces. An empty table gives an empty
+    result; other columns are not looked at.
     """
     text = F.col(text_col)
     cluster = F.xxhash64(F.lower(text)) if cluster_col is None else F.xxhash64(cluster_col)
-    groups = max(1, -(-docs.count() // group_docs))
-    rows = docs.select(
+    scratch, groups = Scratch(docs.sparkSession), max(1, -(-docs.count() // group_docs))
+    rows = scratch.cut(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.when(text.isNotNull(), cluster).alias("cluster"), F.size(word_array(text)).alias("n"),
-        F.pmod(F.xxhash64(F.lit(5), id_col, text_col), F.lit(groups)).alias("grp"),
-    )
+        F.pmod(F.xxhash64(F.lit(5), id_col, text_col), F.lit(groups)).alias("grp"), F.monotonically_increasing_id().alias("place"),
+    ))
+    hot = {r.grp: -(-r["count"] // group_docs) for r in rows.groupBy("grp").count().where(F.col("count") > HOT * group_docs).collect()}
+    if hot:  # of N documents there are N / (HOT * group_docs) such groups at most
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in hot.items() for x in kv]), F.col("grp")), F.lit(1))
+        rows = rows.withColumn("grp", F.col("grp") + F.pmod(F.xxhash64("place"), parts) * groups)
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))
     rows = rows.select("grp", "id", "source", "cluster", F.explode(pieces).alias("piece"), "n")
     rows = rows.select("grp", "id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("n"))

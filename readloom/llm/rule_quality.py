@@ -161,10 +161,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
     """Fits on at most ``sample`` labelled documents for which ``learn``, a
-    condition over id_col, holds; several labels of an id count as the lowest."""
+    condition over id_col, holds; several labels of an id count as the lowest,
+    and of several texts of an id the least is taken."""
     chosen = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
     chosen = chosen.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)  # broadcast: ``sample`` rows at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))
     frame = with_features(rows, "_text").drop("_text").toPandas().sort_values("_id")
     return fit_rules(frame[[f"f_{k}" for k in FEATURES]].to_numpy(np.float64), frame["_y"].to_numpy(np.float64))
 

@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 from .rule_quality import held_out
 
 ORDERS, BITS = 4, 18
-#: Training texts, their share for a language, landmarks, languages at most.
-SAMPLE, LANDMARKS, LANGUAGES = 1600, 240, 256
+#: Training texts, and landmarks. Every language has an even share of the
+#: sample; of more languages than SAMPLE those with most documents are in it.
+SAMPLE, LANDMARKS = 1600, 240
+#: Bytes of a training text; longer ones are not drawn, so that the driver holds
+#: no more than 2 * SAMPLE times as many.
+LONGEST = 1 << 16
 RIDGE, SHARPNESS = 1e-3, 4.0
 #: Texts of a scored batch, and code points hashed at a time.
 BATCH, CHUNK = 64, 1 << 20
@@ -73,7 +77,7 @@ class KernelModel:
 
 def fit_kernel(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
     """Deterministic in its input. Landmarks are taken in turn from each
-    language, in the order given."""
+    language, in the order given, one at least."""
     names = sorted(set(languages))
     if not names:
         return KernelModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
@@ -81,7 +85,7 @@ def fit_kernel(texts: list[str], languages: list[str], landmarks: int = LANDMARK
     for i, name in enumerate(languages):
         turn.append((seen[name], i))
         seen[name] += 1
-    marks = [i for _, i in sorted(turn)][:landmarks]
+    marks = [i for _, i in sorted(turn)][: max(landmarks, len(names))]
     base = presence([texts[i] for i in marks])
     columns = np.flatnonzero(base.any(axis=0))
     z = base[:, columns].astype(np.float32)
@@ -97,11 +101,11 @@ def fit_kernel(texts: list[str], languages: list[str], landmarks: int = LANDMARK
 
 
 def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> KernelModel:
-    """Fits on about ``sample`` documents for which ``learn`` holds: those of a
-    language are drawn by a hash of the id at a rate that gives each language
-    an even share, or all that it has. The languages with most documents."""
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    """Fits on about ``sample`` documents of at most LONGEST bytes for which
+    ``learn`` holds: those of a language are drawn by a hash of the id at a rate
+    that gives each language an even share, or all that it has."""
+    known = docs.where(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= LONGEST) & F.col(id_col).isNotNull())
+    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(sample).collect()
     if not counts:
         return fit_kernel([], [])
     each = sample / len(counts)

@@ -81,3 +81,41 @@ def test_languages(spark):
     assert np.mean([by[i].lang_pred == t for i, _, _, t in rows if by[i].held_out]) > 0.97
     assert string_kernel.identify_languages(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in string_kernel.identify_languages(docs.withColumn("lang", docs.lang.substr(1, 0)).replace("", None, "lang")).collect()} == {"und"}
+
+
+def test_more_languages_than_landmarks(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(3200):
+        k = i % 320
+        rows.append((i, " ".join(f"{chr(0x4E00 + 40 * k + rng.randrange(40))}{chr(0x4E00 + 40 * k + rng.randrange(40))}" for _ in range(12)), f"l{k:03d}"))
+    got = string_kernel.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert len({r.lang_pred for r in got}) > 256
+
+
+def test_rules_are_tree_paths_and_lasso_optimum():
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, 6, (600, 4)).astype(float), np.zeros((600, len(rule_quality.FEATURES) - 4))])
+    y = ((x[:, 0] > 2) & (x[:, 1] <= 3) ^ (rng.random(600) < 0.1)).astype(float)
+    model = rule_quality.fit_rules(x, y)
+    for rule, _ in model.rules:
+        assert 1 <= len(rule) <= rule_quality.DEPTH
+        held = np.ones(len(x), bool)
+        for k, (j, low, cut) in enumerate(rule):  # every step parts the rows that came so far, into two leaves that are large enough
+            side = x[held, j] <= cut
+            assert min(side.sum(), (~side).sum()) >= rule_quality.LEAF
+            held[held] = side == low
+    # optimality of min mean log loss + lasso * |w|_1: the loss's gradient is lasso against a weight's sign, and zero for the bias
+    rules = np.array([rule_quality._holds(r, x) for r, _ in model.rules], float)
+    weights = np.array([w for _, w in model.rules])
+    rest = model.scores(x) - y
+    gradient = rules @ rest / len(y)
+    assert abs(rest.mean()) < 1e-3 and np.allclose(gradient, -rule_quality.LASSO * np.sign(weights), atol=3e-4)
+    assert ((model.scores(x) > 0.5) == ((x[:, 0] > 2) & (x[:, 1] <= 3))).mean() > 0.95
+
+
+def test_a_repeated_id_has_one_text_for_training(spark):
+    docs, labels = corpus(spark, 200)
+    twice = docs.unionByName(docs.withColumn("text", docs.text.substr(1, 40)))
+    a, b = ({(r.doc_id, r.text, r.score) for r in rule_quality.rule_quality(d, labels).collect()} for d in (twice.repartition(7), twice.coalesce(1)))
+    assert a == b

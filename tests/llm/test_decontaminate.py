@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from readloom.llm import decontaminate as D
@@ -54,8 +55,9 @@ def test_matches_brute_force(spark, monkeypatch):
     assert len(want) > 40
     d = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id bigint, text string, item_id string, p int")
     b = spark.createDataFrame([(*r, 1) for r in items], "item_id bigint, text string, s int")
-    for limit in (D.SET_LIMIT, 0):
-        monkeypatch.setattr(D, "SET_LIMIT", limit)
+    for limits in ((D.SET_LIMIT, D.INDEX_LIMIT), (0, 0)):
+        monkeypatch.setattr(D, "SET_LIMIT", limits[0])
+        monkeypatch.setattr(D, "INDEX_LIMIT", limits[1])
         got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in D.contaminated(d, b).collect()}
         assert got == want
 
@@ -77,3 +79,24 @@ def test_fingerprint_and_bag(spark):
         want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
         assert r.fp & (1 << 64) - 1 == want
         assert len(set(r.bag)) == len(r.h)
+
+
+def test_how_many_windows_the_radius_misses():
+    """Bags of shingle hashes that share just what a similarity of 0.8 asks for."""
+    rng, missed, n = np.random.default_rng(3), 0, 0
+    bits = lambda bag: 2 * ((bag[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=1) > bag.shape[1]
+    for size in (11, 20, 36, 56, 100):
+        least = next(k for k in range(size) if k / (2 * size - k) >= 0.8)
+        one = rng.integers(0, 1 << 64, (4000, size), np.uint64)
+        two = np.concatenate([one[:, :least], rng.integers(0, 1 << 64, (4000, size - least), np.uint64)], axis=1)
+        missed, n = missed + int(((bits(one) != bits(two)).sum(axis=1) > D.RADIUS).sum()), n + 4000
+    assert missed <= 0.002 * n
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(1 << 20)}" for _ in range(60_000)]
+    passage = [f"p{i}" for i in range(40)]
+    d = spark.createDataFrame([(1, " ".join(words[:50_000] + passage + words[50_000:])), (2, "same " * 100_000)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, " ".join(passage)), (2, "same " * 30)], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id, r.start) for r in D.contaminated(d, b).collect()) == [(1, 1, 50_000), (2, 2, 0)]

@@ -56,3 +56,17 @@ def test_table(spark):
         texts = [text[r.doc_id] for r in pieces if r.doc_id not in (None, 5)]
         assert len(known) == len(set(known)) and len(texts) == len(set(texts))
     assert packing.best_fit_packing(docs.limit(0)).count() == 0
+
+
+def test_many_equal_rows_and_a_very_long_text(spark):
+    rows = [(7, "the same row", "s")] * 900 + [(None, None, None)] * 500 + [(None, "copy of null id", "s")] * 400 + [(9, "long " * 300_000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = packing.best_fit_packing(docs, capacity=100, group_docs=50).collect()
+    assert len(got) == 1800 + 3000
+    by = {}
+    for r in got:
+        if r.n_tokens:
+            by.setdefault(r.bin_id, []).append(r)
+    assert all(len(v) == 1 or len({(r.doc_id, r.n_tokens) for r in v}) == len(v) for v in by.values())
+    groups = {r.bin_id >> 32 for r in got if r.doc_id == 7}
+    assert len(groups) > 4  # rows of one id and text are not in one task
