@@ -15,13 +15,14 @@ def components(n, edges):
 
 def test_forests_connect_what_agrees():
     rng = np.random.default_rng(1)
-    for n in (17, 60):
+    for n in (9, 17, 60):
         base = rng.integers(0, 1 << 16, (5, 48))
         sketches = np.where(rng.random((n, 48)) < 0.35, rng.integers(0, 1 << 16, (n, 48)), base[rng.integers(0, 5, n)]).astype(np.uint16)
         agree = [(i, j) for i in range(n) for j in range(i) if (sketches[i] == sketches[j]).sum() >= N.AGREE]
-        i, j = N.group_pairs(sketches)
+        i, j, nth = N.group_pairs(sketches)
         got = list(zip(i.tolist(), j.tolist(), strict=True))
-        assert components(n, got) == components(n, agree) and len(got) <= 2 * n and len({frozenset(e) for e in got}) == len(got)
+        assert components(n, got) == components(n, agree) == components(n, [e for e, k in zip(got, nth, strict=True) if k == 1])
+        assert len({frozenset(e) for e in got}) == len(got) and (nth == 1).sum() < n and (n <= N.ALL_PAIRS or len(got) <= 2 * n)
         # no pair agrees more than the weakest tie between its ends in the first forest
         tie = N.forest(sketches)
         for least in range(N.AGREE, 49):
