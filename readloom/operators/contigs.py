@@ -141,17 +141,21 @@ def consensus(draft: str, votes: list[list[str]], min_votes: int = 3) -> str:
 
 def cover(spans: list[tuple[int, int]], overlap: int = 2000) -> list[int]:
     """Spans (start, end), in order of start, that tile a layout: of those that
-    begin overlap before the end at hand the one that reaches furthest; where
-    none goes on, the next span after a gap."""
+    begin overlap before the end at hand the one that reaches furthest, the first
+    of equal ones; where none goes on, the next span after them."""
     if not spans:
         return []
-    picked, at = [0], 1
+    picked, at, end = [0], 1, spans[0][1]
     while at < len(spans):
-        end = spans[picked[-1]][1]
-        reach = [i for i in range(at, len(spans)) if spans[i][0] + overlap <= end and spans[i][1] > end]
-        nxt = max(reach, key=lambda i: (spans[i][1], -i)) if reach else next((i for i in range(at, len(spans)) if spans[i][1] > end), None)
-        if nxt is None:
-            break
-        picked.append(nxt)
-        at = nxt + 1
+        best, i = None, at
+        while i < len(spans) and spans[i][0] + overlap <= end:  # spans begin in order, so none behind reaches back
+            if spans[i][1] > end and (best is None or spans[i][1] > spans[best][1]):
+                best = i
+            i += 1
+        if best is None:
+            if i >= len(spans):
+                break
+            best = i  # nothing goes on: the next span after the gap
+        picked.append(best)
+        at, end = best + 1, spans[best][1]
     return picked

@@ -3,20 +3,26 @@ their result can be told by other means."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions.hashes import crc32c_of, xxh3_of
-from ..operators.align import aligned
+from ..operators import assembly, codecs
+from ..operators.align import aligned, wavefront_aligned
 from ..operators.contigs import folded, op_statistics
 from ..operators.groups import cut_groups
 from ..operators.overlap import overlaps
 from ..operators.sketch import seeds
+from ..sources import archive, bgzf
+from ..sources.fastq import read_fastq
+from ..sources.sam import primary, read_sam
+from ..sources.scratch import shared_folder
+from ..sources.synthetic import synthetic_reads
 from ..streaming.stats import running_stats
-from .catalog import CLUSTER_PLAN
+from .forms import cluster_plan
 from .views import VIEWS, to_duckdb, to_spark
 
 
@@ -24,12 +30,220 @@ def _sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(to_spark(sql, sf_dir))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(found or tempfile.mkdtemp(prefix='readloom-')).rstrip('/')}/{uuid.uuid4().hex}"
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "SELECT read_id, name, seq, qual FROM reads")
+
+
+def _uri(spark: SparkSession) -> str:
+    folder = shared_folder(spark)
+    return folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> str:
+    """An archive of the reads, in row groups of 128."""
+    path = _uri(spark)
+    archive.write_archive(_reads(spark, sf_dir), path, group_reads=128, group_size=2, labels=["R1", "R2"])
+    return path
+
+
+# sources and sinks
+
+
+def s01_fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads written as FASTQ text, and read again by splits of 64 KiB."""
+    path = _uri(spark)
+    archive.write_fastq(_reads(spark, sf_dir), path)
+    return read_fastq(spark, path, 1 << 16).select("name", "seq", "qual")
+
+
+def s23_bgzf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads written as BGZF, and read again by blocks."""
+    path = _uri(spark)
+    bgzf.write_bgzf(_reads(spark, sf_dir), path)
+    return read_fastq(spark, path, 1 << 15).select("name", "seq", "qual")
+
+
+def s05_interleaved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second mates as two tables, in lockstep again."""
+    mate = lambda m: _reads(spark, sf_dir).where(f"read_id % 2 = {m}").selectExpr("read_id DIV 2 AS read_id", "name", "seq", "qual")
+    return archive.interleave(mate(0), mate(1))
+
+
+def s12_footer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archive.index(spark, _archive(spark, sf_dir))
+    return rows.agg(F.sum("reads").alias("reads"), F.min("first_read").alias("first_read"), F.max("last_read").alias("last_read"), F.max("last_group").alias("last_group"))
+
+
+def s16_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.info(spark, _archive(spark, sf_dir)).select("reads", "binning", "group_size", "labels")
+
+
+def s20_split_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads written to a folder a member, and what the folders hold."""
+    path = _uri(spark)
+    archive.write_split(_reads(spark, sf_dir), path, 2)
+    rows = read_fastq(spark, path)
+    member = F.regexp_extract("file", "member=([0-9]+)", 1).cast("bigint")
+    return rows.groupBy(member.alias("member")).agg(F.count("*").alias("reads"), F.sum(F.length("name") + F.length("seq") + F.length("qual") + 6).alias("out_bytes"))
+
+
+def s22_archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.read_archive(spark, _archive(spark, sf_dir))
+
+
+def s25_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _archive(spark, sf_dir)
+    told = archive.recovery_report(spark, path)
+    rows = archive.recover(spark, path).agg(F.count("*").alias("recovered"))
+    return rows.select("recovered", F.lit(told["lost"]).alias("lost"), F.lit(told["skipped_groups"]).alias("skipped"))
+
+
+def s26_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _archive(spark, sf_dir)
+    checks = archive.verify(spark, path).unionByName(archive.verify(spark, path, quick=True).withColumn("check", F.concat(F.lit("quick "), "check")))
+    whole = archive.verify_roundtrip(spark, path, _reads(spark, sf_dir))
+    return checks.unionByName(spark.createDataFrame([("roundtrip", whole)], "check string, ok boolean"))
+
+
+def s27_synthetic_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many reads as there are suppliers."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    return synthetic_reads(spark, n, "novaseq", 100_000).selectExpr("read_id", "length(seq) AS bases", "length(seq) = length(qual) AS whole", "seq RLIKE '^[ACGT]*$' AS plain")
+
+
+def s28_sam_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads written as alignment text, a header before, and scanned."""
+    path = _uri(spark)
+    line = "concat_ws(chr(9), split(name, ' ')[0], CAST(read_id % 16 * 128 AS STRING), '*', '0', '0', '*', '*', '0', '0', seq, replace(qual, chr(9), ' '), concat('RD:i:', read_id))"
+    _reads(spark, sf_dir).selectExpr(f"{line} AS value").write.text(f"{path}/a.sam")
+    spark.createDataFrame([("@HD\tVN:1.6",), ("@CO\tnothing",)], "value string").coalesce(1).write.text(f"{path}/head.sam")
+    rows = primary(read_sam(spark, f"{path}/*.sam"))
+    return rows.selectExpr("CAST(substr(tags[0], 6) AS BIGINT) AS read_id", "qname", "flag", "seq")
+
+
+def s29_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = _reads(spark, sf_dir).agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"))
+    return reads.select(F.to_json(F.struct("reads", "bases")).alias("line"))
+
+
+def p24_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reader says to the reads' archive under other manifests."""
+    path, out = _archive(spark, sf_dir), []
+    told = spark.read.json(f"{path}/manifest")
+    changes = {"as it is": told, "version": told.withColumn("version", F.lit(99)), "feature": told.withColumn("features", F.array(F.lit("unheard of")))}
+    for name, frame in changes.items():
+        other = _uri(spark)
+        frame.coalesce(1).write.json(f"{other}/manifest")
+        try:
+            archive.manifest(spark, other)
+            out.append((name, True))
+        except archive.ArchiveError:
+            out.append((name, False))
+    return spark.createDataFrame(out, "manifest string, taken boolean")
+
+
+# folds and records
+
+
+def a13_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads, bases and the largest number, by a fold of records."""
+    found = api.fold(_reads(spark, sf_dir), lambda: (0, 0, -1), lambda s, i, r: (s[0] + 1, s[1] + len(r.sequence), max(s[2], i)), lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])))
+    return spark.createDataFrame([found], "reads long, bases long, last long")
+
+
+def s10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of an archive pulled one by one, sequences only."""
+    with api.RecordReader(spark, _archive(spark, sf_dir), "seq") as reader:
+        bases = sum(len(r.sequence) + len(r.name) for r in reader)
+        return spark.createDataFrame([(reader.read, bases)], "reads long, bases long")
+
+
+# codecs
+
+
+def _coded(spark: SparkSession, sf_dir: str, codec: str, column: str) -> DataFrame:
+    """A row group's strings, one after another, under a codec."""
+    rows = _reads(spark, sf_dir).groupBy(F.expr("read_id DIV 100").alias("group_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("read_id", column))), lambda r: r[column]), "").alias("text"))
+    return codecs.coded(rows, codec, "group_id", "text")
+
+
+def c04_lzma_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coded(spark, sf_dir, "lzma", "seq").select("group_id", "raw_bytes", "restored")
+
+
+def c08_rans_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _coded(spark, sf_dir, "rans0", "qual").withColumn("lanes", F.lit(0)).unionByName(_coded(spark, sf_dir, "rans1", "qual").withColumn("lanes", F.lit(1)))
+    return both.select("group_id", F.col("lanes").alias("order"), "raw_bytes", "restored", (F.octet_length("coded") < F.col("raw_bytes")).alias("smaller"))
+
+
+def c13_packed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coded(spark, sf_dir, "pack", "seq").select("group_id", "raw_bytes", F.octet_length("coded").cast("long").alias("packed_bytes"), "restored")
+
+
+def c16_codec_contest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reads(spark, sf_dir).groupBy(F.expr("read_id DIV 100").alias("group_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("read_id", "seq"))), lambda r: r["seq"]), "").alias("text"))
+    return codecs.contest(rows, "group_id", "text")
+
+
+# contigs
+
+
+def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "SELECT id, seq FROM contigs")
+
+
+def j08_contig_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.successors(_contigs(spark, sf_dir))
+
+
+def g05_merged_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = _contigs(spark, sf_dir)
+    return assembly.merged(contigs, assembly.successors(contigs))
+
+
+def j11_placed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.placed(_sql(spark, sf_dir, "SELECT read_id AS id, seq FROM reads_overlap"), _contigs(spark, sf_dir))
+
+
+def a30_indel_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of which every third has a base too many, against contigs."""
+    reads = _sql(spark, sf_dir, "SELECT id, CASE WHEN id % 3 = 0 THEN concat(substr(seq, 1, 40), 'ACGTT', substr(seq, 41, 100)) ELSE seq END AS seq FROM contigs")
+    return assembly.indel_probe(reads.withColumn("id", F.col("id") + 1_000_000_000), _contigs(spark, sf_dir))
+
+
+def j09_best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    references = _contigs(spark, sf_dir).withColumnRenamed("id", "read_id")
+    return assembly.best_reference(_sql(spark, sf_dir, "SELECT read_id, seq FROM reads_overlap"), references)
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    reads = _contigs(spark, sf_dir).withColumnRenamed("id", "read_id")
+    return reads, assembly.layout(reads, overlaps(reads), min_score=40)
+
+
+def g03_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _laid(spark, sf_dir)[1]
+
+
+def j12_interval_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, laid = _laid(spark, sf_dir)
+    return assembly.tilings(laid, reads.select(F.col("read_id").alias("read"), F.length("seq").alias("len")), 30)
+
+
+def g04_consensi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, laid = _laid(spark, sf_dir)
+    return assembly.consensi(laid, reads, 30)
+
+
+def j14_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = _contigs(spark, sf_dir).withColumnRenamed("id", "read_id")
+    return assembly.tiles(overlaps(reads), reads)
+
+
+def f23_wavefront(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in the table, by furthest-reaching points."""
+    pairs = _sql(spark, sf_dir, "SELECT a.read_id, a.seq AS ref, b.seq AS read FROM reads_overlap a JOIN (SELECT read_id - 1 AS p, seq FROM reads_overlap) b ON a.read_id = b.p WHERE a.true_pos < 4000")
+    return wavefront_aligned(pairs.repartition("read_id")).select("read_id", "edits", "restored")
 
 
 def a15_xxh3_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,17 +281,17 @@ def f22_edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c10_contig_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folded(_sql(spark, sf_dir, CLUSTER_PLAN)).select("read_id", "op", "contig", "start", "mismatches", "novel")
+    return folded(cluster_plan(spark, sf_dir)).select("read_id", "op", "contig", "start", "mismatches", "novel")
 
 
 def a29_operation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op_statistics(folded(_sql(spark, sf_dir, CLUSTER_PLAN)))
+    return op_statistics(folded(cluster_plan(spark, sf_dir)))
 
 
 def t03_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, read until none is left."""
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    view, folder = f"events_{uuid.uuid4().hex}", _shared(spark)
+    view, folder = f"events_{uuid.uuid4().hex}", shared_folder(spark)
     events.createOrReplaceTempView(view)
     reads = spark.sql(VIEWS["reads"].replace("FROM events", f"FROM {view}"))
     running_stats(reads, f"{folder}/out", f"{folder}/mark").awaitTermination()
@@ -85,11 +299,47 @@ def t03_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("reads", "bases", "min_len", "max_len", "a", "c", "g", "t", "n", "other", F.round("gc", 9).alias("gc"), F.round("mean_quality", 9).alias("mean_quality"))
 
 
-QUERIES = [a15_xxh3_digests, a16_crc32c, w04_cut_groups, w06_exact_minimizers, w07_exact_syncmers, g02_overlaps, f22_edit_scripts, c10_contig_operations, a29_operation_statistics, t03_running_stats]
+QUERIES = [
+    s01_fastq_scan, s23_bgzf_scan, s05_interleaved_files, s10_records, s12_footer_index, s16_metadata, s20_split_sink, s22_archive_scan, s25_recovered, s26_verified, s27_synthetic_reads, s28_sam_scan, s29_report_json, p24_refusals,
+    a13_fold, a15_xxh3_digests, a16_crc32c, w04_cut_groups, w06_exact_minimizers, w07_exact_syncmers, g02_overlaps, f22_edit_scripts, f23_wavefront, c04_lzma_sequence, c08_rans_quality, c10_contig_operations, c13_packed_sequence,
+    c16_codec_contest, a29_operation_statistics, j08_contig_successors, g05_merged_contigs, j09_best_reference, j11_placed_reads, a30_indel_probe, g03_layout, j12_interval_cover, g04_consensi, j14_tiles, t03_running_stats,
+]
 
 _N = "sum(length(seq) - length(replace(seq, '{0}', '')))".format
 _Q = "(SELECT ascii(substr(qual, i, 1)) - 33 AS q FROM (SELECT qual, @EX(length(qual))@ AS i FROM reads))"
+_LAST = "(SELECT max(read_id) FROM reads)"
+_CK = "(SELECT id, i - 1 AS pos, substr(seq, i, 15) AS f FROM (SELECT id, seq, @EX(length(seq) - 14)@ AS i FROM {}) AS ck)".format
+_HEADS = f"(SELECT * FROM (SELECT id, pos, f, row_number() OVER (PARTITION BY f ORDER BY id, pos) AS n FROM {_CK('contigs')} AS c0 WHERE pos + 15 <= 64) WHERE n <= 16)"
+_GROUPED = "(SELECT read_id // 100 AS group_id, sum(length({0})) AS raw, sum(length({0}) - length(replace({0}, 'N', ''))) AS odd FROM reads GROUP BY read_id // 100)".format
 ORACLES = {
+    "s01_fastq_scan": "SELECT name, seq, qual FROM reads",
+    "s23_bgzf_scan": "SELECT name, seq, qual FROM reads",
+    "s05_interleaved_files": "SELECT read_id, name, seq, qual FROM reads",
+    "s22_archive_scan": "SELECT read_id, name, seq, qual FROM reads",
+    "s10_records": "SELECT count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases FROM reads",
+    "a13_fold": "SELECT count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, max(read_id) AS last FROM reads",
+    "s12_footer_index": "SELECT count(*) AS reads, min(read_id) AS first_read, max(read_id) AS last_read, max(read_id // 128) AS last_group FROM reads",
+    "s16_metadata": "SELECT count(*) AS reads, 'none' AS binning, 2 AS group_size, 'R1,R2' AS labels FROM reads",
+    "s20_split_sink": "SELECT read_id % 2 AS member, count(*) AS reads, CAST(sum(length(name) + length(seq) + length(qual) + 6) AS BIGINT) AS out_bytes FROM reads GROUP BY read_id % 2",
+    "s25_recovered": "SELECT count(*) AS recovered, 0 AS lost, 0 AS skipped FROM reads",
+    "s26_verified": "SELECT unnest(['reads', 'records', 'names', 'sequence', 'quality', 'quick reads', 'quick order', 'roundtrip']) AS \"check\", TRUE AS ok",
+    "s27_synthetic_reads": "SELECT unnest(range(n)) AS read_id, 150 AS bases, TRUE AS whole, TRUE AS plain FROM (SELECT count(*) AS n FROM supplier)",
+    "s28_sam_scan": "SELECT read_id, split_part(name, ' ', 1) AS qname, read_id % 16 * 128 AS flag, seq FROM reads WHERE (read_id % 16 * 128) & 2304 = 0",
+    "s29_report_json": "SELECT concat('{\"reads\":', count(*), ',\"bases\":', sum(length(seq)), '}') AS line FROM reads",
+    "p24_refusals": "SELECT unnest(['as it is', 'version', 'feature']) AS manifest, unnest([TRUE, FALSE, FALSE]) AS taken",
+    "c04_lzma_sequence": f"SELECT group_id, CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored FROM {_GROUPED('seq')}",
+    "c08_rans_quality": f"SELECT group_id, o AS \"order\", CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored, TRUE AS smaller FROM {_GROUPED('qual')}, (VALUES (0), (1)) AS t(o)",
+    "c13_packed_sequence": f"SELECT group_id, CAST(raw AS BIGINT) AS raw_bytes, CAST(16 + 9 * odd + ceil(raw / 4.0) AS BIGINT) AS packed_bytes, TRUE AS restored FROM {_GROUPED('seq')}",
+    "f23_wavefront": "SELECT a.read_id, CAST(levenshtein(a.seq, b.seq) AS BIGINT) AS edits, TRUE AS restored FROM reads_overlap a JOIN (SELECT read_id - 1 AS p, seq FROM reads_overlap) b ON a.read_id = b.p WHERE a.true_pos < 4000",
+    "j08_contig_successors": f"""SELECT a, b, shift, overlap, mism FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, mism, b, shift) AS rn FROM (
+      SELECT a, b, shift, overlap, CAST(hamming(substr(sa, CAST(shift + 1 AS BIGINT), overlap), substr(sb, 1, overlap)) AS BIGINT) AS mism FROM (
+        SELECT p.a, p.b, p.shift, length(x.seq) - p.shift AS overlap, x.seq AS sa, y.seq AS sb FROM (SELECT DISTINCT t.id AS a, h.id AS b, t.pos - h.pos AS shift FROM {_CK('contigs')} AS t JOIN {_HEADS} AS h ON t.f = h.f AND t.id <> h.id AND t.pos > h.pos) p
+        JOIN contigs x ON x.id = p.a JOIN contigs y ON y.id = p.b) WHERE overlap >= 24 AND overlap <= length(sb)) WHERE mism <= overlap // 8) WHERE rn = 1""",
+    "j11_placed_reads": f"""SELECT "read", contig, off, overlap, mism FROM (SELECT *, row_number() OVER (PARTITION BY "read" ORDER BY mism, contig DESC, off) AS rn FROM (
+      SELECT "read", contig, off, overlap, len, CAST(hamming(substr(rs, 1, overlap), substr(cs, CAST(off + 1 AS BIGINT), overlap)) AS BIGINT) AS mism FROM (
+        SELECT p.r AS "read", p.c AS contig, p.off, least(length(y.seq) - p.off, length(x.seq)) AS overlap, length(x.seq) AS len, x.seq AS rs, y.seq AS cs FROM (
+          SELECT DISTINCT o.id AS r, t.id AS c, t.pos - o.pos AS off FROM {_CK("(SELECT read_id AS id, seq FROM reads_overlap)")} AS o JOIN {_CK('contigs')} AS t ON o.f = t.f AND t.pos >= o.pos WHERE o.pos % 15 = 0) p
+        JOIN reads_overlap x ON x.read_id = p.r JOIN contigs y ON y.id = p.c)) WHERE overlap >= least(16, len) AND mism <= overlap // 4 AND len - overlap + 2 * mism < len) WHERE rn = 1""",
     "f22_edit_scripts": "SELECT a.read_id, CAST(levenshtein(a.seq, b.seq) AS BIGINT) AS edits, TRUE AS restored FROM reads_overlap a JOIN (SELECT read_id - 1 AS p, seq FROM reads_overlap) b ON a.read_id = b.p",
     "t03_running_stats": f"SELECT reads, bases, lo AS min_len, hi AS max_len, a, c, g, t, n, bases - a - c - g - t - n AS other, round((g + c) * 1.0 / (a + c + g + t), 9) AS gc, round((SELECT avg(q) FROM {_Q}), 9) AS mean_quality FROM (SELECT count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(min(length(seq)) AS INT) AS lo, CAST(max(length(seq)) AS INT) AS hi, "
     + ", ".join(f"CAST({_N(b)} AS BIGINT) AS {b.lower()}" for b in "ACGTN")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels
 from .catalog import PLANS
+from .forms import FORMS
 from .views import to_duckdb, to_spark
 
 
@@ -16,7 +17,7 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(sql) for name, sql in PLANS.items()} | {f.__name__: f for f in kernels.QUERIES}
+    return {name: _query(sql) for name, sql in PLANS.items()} | FORMS | {f.__name__: f for f in kernels.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,9 +28,18 @@ _NAME = f"""CASE event_id % 5
 _CUT = f"substr('{GENOME}', CAST(1 + event_id * 37 % 3996 AS INT), 100)"
 _SUBST = f"concat(substr({_CUT}, 1, CAST(event_id % 97 AS INT)), 'A', substr({_CUT}, CAST(event_id % 97 + 2 AS INT), 100))"
 
+#: A token that is coded as a number: at most 18 digits, the first not zero
+#: unless it is alone.
+_NUMBER = "@RX({0}, '^(0|[1-9][0-9]{{0,17}})$')".format
+TOKEN_OP_SQL = f"CASE WHEN p IS NOT NULL AND k = p THEN 'MATCH' WHEN {_NUMBER('k')} AND p IS NOT NULL AND {_NUMBER('p')} THEN 'DELTA' WHEN {_NUMBER('k')} THEN 'NUM' ELSE 'STR' END"
+_STEP = "(CAST(k AS BIGINT) - CAST(p AS BIGINT))"
+TOKEN_VALUE_SQL = f"CASE WHEN p IS NOT NULL AND k = p THEN '' WHEN {_NUMBER('k')} AND p IS NOT NULL AND {_NUMBER('p')} THEN CAST(CASE WHEN {_STEP} >= 0 THEN 2 * {_STEP} ELSE -2 * {_STEP} - 1 END AS STRING) ELSE k END"
+
 VIEWS = {
     "reads": f"SELECT event_id AS read_id, {_NAME} AS name, {_SEQ} AS seq, {_QUAL} AS qual FROM events",
     "reads_overlap": f"SELECT event_id AS read_id, event_id * 37 % 3996 AS true_pos, event_id % 2 AS flipped, CASE WHEN event_id % 2 = 1 THEN reverse(translate({_SUBST}, 'ACGT', 'TGCA')) ELSE {_SUBST} END AS seq FROM events",
+    "reads_spots": f"SELECT event_id AS read_id, concat('SPOT.', CAST(event_id @DIV 2 AS STRING), '/', CAST(1 + event_id % 2 AS STRING)) AS name, {_SEQ} AS seq, {_QUAL} AS qual FROM events",
+    "contigs": f"SELECT s_suppkey AS id, {_SUBST.replace('event_id', 's_suppkey')} AS seq FROM supplier",
     "reads_text": "SELECT doc_id AS read_id, text AS seq FROM documents",
 }
 

@@ -8,15 +8,23 @@ from __future__ import annotations
 import gzip
 import io
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .scratch import written
+
 SCHEMA = "file string, split int, nth long, name string, seq string, qual string"
 _ROWS = 8192
+#: Splits whose places are looked up by broadcast; more are joined.
+SPLITS = 1_000_000
+
+
+_SCHEMA = pa.schema([("file", pa.string()), ("split", pa.int32()), ("nth", pa.int64()), ("name", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
 
 
 class FastqError(ValueError):
@@ -157,26 +165,39 @@ def records(stream, start: int = 0, end=lambda: None):
 
 
 class FastqReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int):
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, counts: bool = False):
+        self.path, self.split_bytes, self.counts = path, split_bytes, counts
 
     def partitions(self):
         store, at = pafs.FileSystem.from_uri(self.path)
         info = store.get_file_info(at)
         found = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(at, recursive=True))
         hidden = lambda f: any(p[:1] in "._" for p in f.path.removeprefix(at).strip("/").split("/") if p)
-        out = []
-        for f in sorted((f for f in found if f.type == pafs.FileType.File and not hidden(f)), key=lambda f: f.path):
+        files = sorted((f for f in found if f.type == pafs.FileType.File and not hidden(f)), key=lambda f: f.path)
+
+        def kind_of(f) -> str:
             with store.open_input_stream(f.path, compression=None) as s:
-                kind = sniff(s.read(18))
-            cuts = [0] if kind == "gzip" else range(0, max(f.size, 1), self.split_bytes)
-            out += [Range(f.path, k, a, f.size if kind == "gzip" else min(f.size, a + self.split_bytes), kind) for k, a in enumerate(cuts)]
-        return out
+                return sniff(s.read(18))
+
+        # what fits in one split is looked at by the task that reads it
+        large = [f for f in files if f.size > self.split_bytes]
+        with ThreadPoolExecutor(16) as pool:
+            kinds = dict(zip((f.path for f in large), pool.map(kind_of, large), strict=True))
+        out = []
+        for f in files:
+            kind = kinds.get(f.path, "")
+            cuts = [0] if kind in ("", "gzip") else range(0, f.size, self.split_bytes)
+            parts = [Range(f.path, k, a, f.size if kind in ("", "gzip") else min(f.size, a + self.split_bytes), kind) for k, a in enumerate(cuts)]
+            out += parts if len(parts) > 1 or not self.counts else []
+        return out or [Range("", 0, 0, 0, "none")]
 
     def _open(self, part: Range):
         """(stream, start, end) for records."""
         store, _ = pafs.FileSystem.from_uri(self.path)
         raw = store.open_input_file(part.path)
+        if not part.kind:
+            part.kind = sniff(raw.read(18))
+            raw.seek(0)
         if part.kind == "gzip":
             return gzip.open(raw), 0, lambda: None
         if part.kind == "plain":
@@ -188,8 +209,15 @@ class FastqReader(DataSourceReader):
         return io.BufferedReader(blocks, 1 << 16), min(part.start, 1), lambda: None if blocks.limit is None else blocks.limit + 1
 
     def read(self, part: Range):
+        if part.kind == "none":
+            return
         stream, start, end = self._open(part)
         rows, nth = [], 0
+        if self.counts:
+            with stream:
+                n = sum(1 for _ in records(stream, start, end))
+            yield pa.RecordBatch.from_pydict({"file": [part.path], "split": pa.array([part.split], pa.int32()), "nth": [n], "name": [None], "seq": [None], "qual": [None]}, _SCHEMA)
+            return
         with stream:
             for name, seq, qual in records(stream, start, end):
                 rows.append((name.decode("latin-1"), seq.decode("latin-1"), qual.decode("latin-1")))
@@ -215,19 +243,24 @@ class FastqSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> FastqReader:
-        return FastqReader(self.options["path"], int(self.options.get("splitbytes", self.options.get("splitBytes", 64 << 20))))
+        options = {k.lower(): v for k, v in dict(self.options).items()}
+        return FastqReader(options["path"], int(options.get("splitbytes", 64 << 20)), options.get("counts") == "True")
 
 
 def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
     """(file, read_id, name, seq, qual) of a file or folder, given as a URI.
     read_id is a record's place in its file, found from the records of the
-    splits before; it does not depend on how the file is split."""
+    splits before; it does not depend on how the file is split. Files of one
+    split are read once; of others the records of each split are counted first."""
     spark.dataSource.register(FastqSource)
-    rows = spark.read.format("fastq").option("splitBytes", split_bytes).load(path)
-    sizes = rows.groupBy("file", "split").count()  # a row per split
-    before = sizes.alias("a").join(sizes.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.split") < F.col("a.split")), "left")
-    before = before.groupBy(F.col("a.file").alias("file"), F.col("a.split").alias("split")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("base"))
-    return rows.join(before, ["file", "split"]).select("file", (F.col("base") + F.col("nth")).alias("read_id"), "name", "seq", "qual")
+    load = lambda counts: spark.read.format("fastq").option("splitBytes", split_bytes).option("counts", str(counts)).load(path)
+    sizes = load(True).select("file", "split", F.col("nth").alias("n"))  # a row per split of a file that has several
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    bases = written(sizes.select("file", "split", F.coalesce(before, F.lit(0)).alias("base")))
+    base = F.coalesce("base", F.lit(0))
+    rows = load(False)
+    joined = rows.join(F.broadcast(bases) if bases.count() <= SPLITS else bases, ["file", "split"], "left")
+    return joined.select("file", (base + F.col("nth")).alias("read_id"), "name", "seq", "qual")
 
 
 def fastq_text(reads: DataFrame) -> DataFrame:
