@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,37 +17,45 @@ _BASES = "ACGT"
 OPS = "read_id long, canon string, op string, contig long, start long, mismatches long, novel long"
 
 
+_CODES = np.full(256, 4, np.uint8)
+_CODES[list(b"ACGT")] = range(4)
+
+
 class Contig:
     """Votes of the reads placed so far, a column each; a column's base is the
-    one with most votes, the first of A, C, G, T among equals."""
+    one with most votes, the first of A, C, G, T among equals. Reads are arrays
+    of bytes."""
 
-    def __init__(self, seq: str, anchor: int):
-        self.columns: list[list[int]] = []
-        self.bases: list[str] = []
-        self.anchor = anchor
+    def __init__(self, seq: np.ndarray, anchor: int):
+        self.votes = np.zeros((max(64, 2 * len(seq)), 5), np.int32)
+        self.held = np.zeros(len(self.votes), np.uint8)
+        self.size, self.anchor = 0, anchor
         self.place(seq, 0)
 
-    def place(self, seq: str, start: int) -> None:
-        for at, b in enumerate(seq, start):
-            if at == len(self.columns):
-                self.columns.append([0, 0, 0, 0])
-                self.bases.append(b)
-            code = _BASES.find(b)
-            if code >= 0:
-                votes = self.columns[at]
-                votes[code] += 1
-                self.bases[at] = _BASES[votes.index(max(votes))]
-
-    def fit(self, seq: str, start: int) -> tuple[int, int] | None:
+    def place(self, seq: np.ndarray, start: int) -> None:
+        end = start + len(seq)
+        if end > len(self.held):
+            more = max(end, 2 * len(self.held)) - len(self.held)
+            self.votes = np.concatenate([self.votes, np.zeros((more, 5), np.int32)])
+            self.held = np.concatenate([self.held, np.zeros(more, np.uint8)])
+        if end > self.size:
+            self.held[max(start, self.size) : end] = seq[max(0, self.size - start) :]
+            self.size = end
+        code = _CODES[seq]
+        at = np.arange(start, end)[code < 4]
+        self.votes[at, code[code < 4]] += 1
+        self.held[at] = np.frombuffer(b"ACGT", np.uint8)[self.votes[at, :4].argmax(axis=1)]
+
+    def fit(self, seq: np.ndarray, start: int) -> tuple[int, int] | None:
         """(mismatches, new bases) at a place, None if it isn't good enough."""
-        overlap = min(len(self.bases) - start, len(seq))
+        overlap = min(self.size - start, len(seq))
         if start < 0 or overlap < min(OVERLAP, len(seq)):
             return None
-        wrong = sum(a != b for a, b in zip(seq, self.bases[start : start + overlap]))
+        wrong = int(np.count_nonzero(seq[:overlap] != self.held[start : start + overlap]))
         novel = len(seq) - overlap
         return (wrong, novel) if wrong <= overlap // 4 and novel + 2 * wrong < len(seq) else None
 
-    def find(self, seq: str, anchor: int) -> tuple[int, int, int] | None:
+    def find(self, seq: np.ndarray, anchor: int) -> tuple[int, int, int] | None:
         """(start, mismatches, new bases): where the anchors say, else the place
         near it with fewest mismatches, the nearest of equal ones."""
         want = self.anchor - anchor
@@ -78,15 +87,16 @@ def folded(plan: DataFrame) -> DataFrame:
                 if not isinstance(canon, str):
                     out.append((read, None, "LITERAL", -1, 0, 0, len(seq or "")))
                     continue
-                hit = contig and seq != last and contig.find(seq, anchor)
+                data = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8) if seq != last else None
+                hit = contig and data is not None and contig.find(data, anchor)
                 if contig and seq == last:
                     out.append((read, canon, "MATCH", nth, start, 0, 0))
                 elif hit:
                     start = hit[0]
-                    contig.place(seq, start)
+                    contig.place(data, start)
                     out.append((read, canon, "CONTIG", nth, *hit))
                 else:
-                    contig, nth, start = Contig(seq, anchor), nth + 1, 0
+                    contig, nth, start = Contig(data, anchor), nth + 1, 0
                     out.append((read, canon, "LITERAL", nth, 0, 0, len(seq)))
                 last = seq
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OPS.split(", ")])

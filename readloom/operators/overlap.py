@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,15 +59,21 @@ def chains(points: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, i
     of anchors (tpos, qpos), which are in order. A link looks back at LOOKBACK
     anchors; chains are taken best first and share no anchor."""
     n = len(points)
-    score, parent = [k] * n, [-1] * n
-    for i in range(n):
-        ti, qi = points[i]
-        for j in range(i - 1, max(-1, i - 1 - LOOKBACK), -1):
-            dt, dq = ti - points[j][0], qi - points[j][1]
-            if 0 < dt <= REACH and 0 < dq <= REACH and abs(dt - dq) <= REACH:
-                value = score[j] + min(dt, dq, k) - gap_cost(abs(dt - dq), k)
-                if value > score[i]:
-                    score[i], parent[i] = value, j
+    at = np.array(points, np.int64).reshape(-1, 2)
+    best, parent = np.full(n, k, np.int64), [-1] * n
+    for i in range(1, n):
+        low = max(0, i - LOOKBACK)
+        dt, dq = (at[i] - at[low:i]).T
+        gap = np.abs(dt - dq)
+        ok = (dt > 0) & (dt <= REACH) & (dq > 0) & (dq <= REACH) & (gap <= REACH)
+        if not ok.any():
+            continue
+        cost = np.where(gap > 0, (0.01 * k * gap + 0.5 * np.log2(np.maximum(gap, 1))).astype(np.int64), 0)
+        value = np.where(ok, best[low:i] + np.minimum(np.minimum(dt, dq), k) - cost, -1)
+        j = len(value) - 1 - int(value[::-1].argmax())  # the nearest of equal ones
+        if value[j] > k:
+            best[i], parent[i] = value[j], low + j
+    score = best.tolist()
     used, out = [False] * n, []
     for end in sorted(range(n), key=lambda i: (-score[i], i)):
         if used[end] or score[end] < MIN_SCORE:
