@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .align import banded
 from .contigs import consensus, cover
 from .graph import components
+from .ordering import numbered
 from .overlap import anchors, chained
 from .sketch import PRESETS, seeds
 
@@ -123,6 +124,47 @@ def placed(reads: DataFrame, contigs: DataFrame, k: int = K) -> DataFrame:
     return best.select("read", (-F.col("m.c")).alias("contig"), "m.off", "m.overlap", "m.mism")
 
 
+def referenced(reads: DataFrame, contigs: DataFrame, k: int = K) -> DataFrame:
+    """(id, contig, off, overlap, flip, edits, tail): reads (id, seq) as what differs from
+    the contig (id, seq) that they, or their reverse complements, are best placed
+    on, and what reaches beyond it; a read without a good place has no contig
+    and is its tail. edits: (place, base)."""
+    both = reads.select(F.col("id"), F.lit(False).alias("flip"), "seq").unionByName(reads.select("id", F.lit(True).alias("flip"), F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca")).alias("seq")))
+    keyed = both.select(F.struct("id", "flip").alias("id"), "seq")
+    best = placed(keyed, contigs, k).select(F.col("read.id").alias("id"), F.col("read.flip").alias("flip"), "contig", "off", "overlap", "mism")
+    best = best.groupBy("id").agg(F.min(F.struct("mism", (-F.col("overlap")).alias("o"), "flip", "contig", "off")).alias("m"))
+    best = best.select("id", "m.flip", "m.contig", "m.off", (-F.col("m.o")).alias("overlap"))
+    rows = both.join(best, ["id", "flip"]).join(contigs.select(F.col("id").alias("contig"), F.col("seq").alias("cs")), "contig")
+    unlike = F.zip_with(F.split(F.substr("seq", F.lit(1), F.col("overlap")), ""), F.split(F.substr("cs", F.col("off") + 1, F.col("overlap")), ""), lambda x, y: F.when(x != y, x))
+    edits = F.filter(F.transform(unlike, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("place"), x.alias("base")))), lambda e: e.isNotNull())
+    good = rows.select("id", F.col("contig").cast("long").alias("contig"), F.col("off").cast("int").alias("off"), F.col("overlap").cast("int").alias("overlap"), "flip", edits.alias("edits"), F.substr("seq", F.col("overlap") + 1).alias("tail"))
+    none = F.array().cast("array<struct<place:int,base:string>>")
+    rest = reads.join(best.select("id"), "id", "left_anti").select("id", F.lit(None).cast("long").alias("contig"), F.lit(None).cast("int").alias("off"), F.lit(None).cast("int").alias("overlap"), F.lit(False).alias("flip"), none.alias("edits"), F.col("seq").alias("tail"))
+    return good.unionByName(rest)
+
+
+def restored(coded: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(id, seq) of reads as :func:`referenced` has them, against the same contigs."""
+    rows = coded.join(contigs.select(F.col("id").alias("contig"), F.col("seq").alias("cs")), "contig", "left")
+    there = F.substr("cs", F.col("off") + 1, F.col("overlap"))
+    copied = F.aggregate("edits", F.coalesce(there, F.lit("")), lambda s, e: F.overlay(s, e["base"], e["place"] + 1, F.lit(1)))
+    whole = F.concat(copied, "tail")
+    return rows.select("id", F.when(F.col("flip"), F.reverse(F.translate(whole, "ACGTacgt", "TGCAtgca"))).otherwise(whole).alias("seq"))
+
+
+def clustered(plan: DataFrame) -> DataFrame:
+    """(pos, read_id, flip, oriented): reads of a cluster plan in the order of
+    their least k-mers, in which neighbours overlap."""
+    rows = numbered(plan, F.col("canon").isNull(), "canon", F.desc("anchor"), "oriented", "read_id")
+    return rows.select("pos", "read_id", "flip", "oriented")
+
+
+def unclustered(rows: DataFrame) -> DataFrame:
+    """(read_id, seq) of reads as :func:`clustered` has them."""
+    turned = F.reverse(F.translate("oriented", "ACGTacgt", "TGCAtgca"))
+    return rows.select("read_id", F.when(F.col("flip") == 1, turned).otherwise(F.col("oriented")).alias("seq"))
+
+
 def gapped(ref: str, read: str) -> tuple[int, int]:
     """(edits, indels) of a read that begins where ref does and may end anywhere
     in it: fewest edits, then fewest indels."""

@@ -176,6 +176,35 @@ def c08_rans_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("group_id", F.col("lanes").alias("order"), "raw_bytes", "restored", (F.octet_length("coded") < F.col("raw_bytes")).alias("smaller"))
 
 
+def c02_order_k_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases behind the six before, and behind thirteen by hashed slots."""
+    both = _coded(spark, sf_dir, "order-6", "seq").withColumn("k", F.lit(6)).unionByName(_coded(spark, sf_dir, "hashed", "seq").withColumn("k", F.lit(13)))
+    return both.select("group_id", "k", "raw_bytes", "restored")
+
+
+def c05_quality_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualities of a row group behind those before, by position and beside the bases."""
+    rows = _reads(spark, sf_dir).groupBy(F.expr("read_id DIV 100").alias("group_id")).agg(F.sort_array(F.collect_list(F.struct("read_id", "seq", "qual"))).alias("r"))
+    return codecs.coded_qualities(rows.select("group_id", F.col("r.seq").alias("seqs"), F.col("r.qual").alias("quals")), "group_id")
+
+
+def c09_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualities, a read at a time, under models that grow as they are coded."""
+    return codecs.coded(_reads(spark, sf_dir), "adaptive", "read_id", "qual").select("read_id", "raw_bytes", "restored")
+
+
+def c12_reference_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads as edits of a shared table of contigs, and what they come to again."""
+    contigs = _contigs(spark, sf_dir)
+    rows = _sql(spark, sf_dir, "SELECT read_id AS id, seq FROM reads_overlap")
+    return assembly.restored(assembly.referenced(rows, contigs), contigs).select(F.col("id").alias("read_id"), "seq")
+
+
+def c17_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads in cluster order with their orientation, and in file order again."""
+    return assembly.unclustered(assembly.clustered(cluster_plan(spark, sf_dir)))
+
+
 def c13_packed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coded(spark, sf_dir, "pack", "seq").select("group_id", "raw_bytes", F.octet_length("coded").cast("long").alias("packed_bytes"), "restored")
 
@@ -301,7 +330,7 @@ def t03_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     s01_fastq_scan, s23_bgzf_scan, s05_interleaved_files, s10_records, s12_footer_index, s16_metadata, s20_split_sink, s22_archive_scan, s25_recovered, s26_verified, s27_synthetic_reads, s28_sam_scan, s29_report_json, p24_refusals,
-    a13_fold, a15_xxh3_digests, a16_crc32c, w04_cut_groups, w06_exact_minimizers, w07_exact_syncmers, g02_overlaps, f22_edit_scripts, f23_wavefront, c04_lzma_sequence, c08_rans_quality, c10_contig_operations, c13_packed_sequence,
+    a13_fold, a15_xxh3_digests, a16_crc32c, w04_cut_groups, w06_exact_minimizers, w07_exact_syncmers, g02_overlaps, f22_edit_scripts, f23_wavefront, c02_order_k_sequence, c04_lzma_sequence, c05_quality_codecs, c08_rans_quality, c09_adaptive_quality, c12_reference_coded, c17_clustered_layout, c10_contig_operations, c13_packed_sequence,
     c16_codec_contest, a29_operation_statistics, j08_contig_successors, g05_merged_contigs, j09_best_reference, j11_placed_reads, a30_indel_probe, g03_layout, j12_interval_cover, g04_consensi, j14_tiles, t03_running_stats,
 ]
 
@@ -328,6 +357,11 @@ ORACLES = {
     "s29_report_json": "SELECT concat('{\"reads\":', count(*), ',\"bases\":', sum(length(seq)), '}') AS line FROM reads",
     "p24_refusals": "SELECT unnest(['as it is', 'version', 'feature']) AS manifest, unnest([TRUE, FALSE, FALSE]) AS taken",
     "c04_lzma_sequence": f"SELECT group_id, CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored FROM {_GROUPED('seq')}",
+    "c02_order_k_sequence": f"SELECT group_id, k, CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored FROM {_GROUPED('seq')}, (VALUES (6), (13)) AS t(k)",
+    "c05_quality_codecs": f"SELECT group_id, beside, CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored FROM {_GROUPED('qual')}, (VALUES (TRUE), (FALSE)) AS t(beside)",
+    "c09_adaptive_quality": "SELECT read_id, length(qual) AS raw_bytes, TRUE AS restored FROM reads",
+    "c12_reference_coded": "SELECT read_id, seq FROM reads_overlap",
+    "c17_clustered_layout": "SELECT read_id, seq FROM reads_overlap",
     "c08_rans_quality": f"SELECT group_id, o AS \"order\", CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored, TRUE AS smaller FROM {_GROUPED('qual')}, (VALUES (0), (1)) AS t(o)",
     "c13_packed_sequence": f"SELECT group_id, CAST(raw AS BIGINT) AS raw_bytes, CAST(16 + 9 * odd + ceil(raw / 4.0) AS BIGINT) AS packed_bytes, TRUE AS restored FROM {_GROUPED('seq')}",
     "f23_wavefront": "SELECT a.read_id, CAST(levenshtein(a.seq, b.seq) AS BIGINT) AS edits, TRUE AS restored FROM reads_overlap a JOIN (SELECT read_id - 1 AS p, seq FROM reads_overlap) b ON a.read_id = b.p WHERE a.true_pos < 4000",
