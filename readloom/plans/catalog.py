@@ -162,7 +162,7 @@ PLANS: dict[str, str] = {
     "a26_spot_coherence": f"SELECT {B('count(*)')} AS spots, {B('count(CASE WHEN n > 1 THEN 1 END)')} AS mismatched, min(CASE WHEN n > 1 THEN spot END) AS first_bad FROM (SELECT read_id @DIV 2 AS spot, count(DISTINCT {_SPOT}) AS n FROM reads GROUP BY read_id @DIV 2)",
     "a27_column_vote": f"SELECT {B('pos')} AS pos, b AS base, {B('n')} AS votes FROM (SELECT pos, b, n, row_number() OVER (PARTITION BY pos ORDER BY n DESC, b) AS rn FROM (SELECT true_pos + i AS pos, b, count(*) AS n FROM (SELECT true_pos, i, substr(s, i, 1) AS b FROM (SELECT true_pos, CASE WHEN flipped = 1 THEN {_RC('seq')} ELSE seq END AS s, @EX(length(seq))@ AS i FROM reads_overlap)) WHERE b IN ('A', 'C', 'G', 'T') GROUP BY true_pos + i, b)) WHERE rn = 1",
     "a28_consensus_vote": f"SELECT {B('pos')} AS pos, {B('total')} AS votes, CASE WHEN total < 3 THEN 'draft' WHEN d > greatest(a, c, g, t) THEN '-' WHEN a >= greatest(c, g, t) THEN 'A' WHEN c >= greatest(g, t) THEN 'C' WHEN g >= t THEN 'G' ELSE 'T' END AS called FROM (SELECT true_pos + i AS pos, count(CASE WHEN b = 'A' THEN 1 END) AS a, count(CASE WHEN b = 'C' THEN 1 END) AS c, count(CASE WHEN b = 'G' THEN 1 END) AS g, count(CASE WHEN b = 'T' THEN 1 END) AS t, count(CASE WHEN b = '-' THEN 1 END) AS d, count(CASE WHEN b IN ('A', 'C', 'G', 'T', '-') THEN 1 END) AS total FROM (SELECT true_pos, i, CASE WHEN (read_id + i) % 5 < 2 THEN '-' ELSE substr(s, i, 1) END AS b FROM (SELECT read_id, true_pos, CASE WHEN flipped = 1 THEN {_RC('seq')} ELSE seq END AS s, @EX(length(seq))@ AS i FROM reads_overlap)) GROUP BY true_pos + i)",
-    "a31_coverage": f"SELECT {B('d * 11 @DIV 2')} AS genome, {B('greatest(1, CAST(round(b * 1.0 / greatest(d * 11 @DIV 2, 1)) AS BIGINT) @DIV 40)')} AS stride FROM (SELECT count(DISTINCT canon) AS d, count(DISTINCT read_id) * 100 AS b FROM {_C15O} AS c)",
+    "a31_coverage": f"SELECT {B('d * 11 @DIV 2')} AS genome, {B('greatest(1, CAST(round(b * 1.0 / greatest(d * 11 @DIV 2, 1)) AS BIGINT) @DIV 40)')} AS stride FROM (SELECT count(DISTINCT h) AS d FROM {_SKETCH(_C15O)} AS sk) AS m CROSS JOIN (SELECT sum(length(seq)) AS b FROM reads_overlap) AS l",
     "a32_info_rollup": f"SELECT {B('count(*)')} AS groups, {B('sum(n)')} AS reads, {B('sum(nb)')} AS names_bytes, {B('sum(sb)')} AS seq_bytes, {B('sum(qb)')} AS qual_bytes FROM {_GROUPS} AS g",
     "a33_verify_rollup": f"SELECT CASE WHEN sum(CASE WHEN ok THEN 0 ELSE 1 END) = 0 THEN TRUE ELSE FALSE END AS passed, {B('sum(CASE WHEN ok THEN 0 ELSE 1 END)')} AS failed FROM (SELECT group_id, sb = qb AS ok FROM {_GROUPS} AS g)",
     "a34_recovery_tally": f"SELECT {B('sum(CASE WHEN group_id % 7 <> 3 THEN n ELSE 0 END)')} AS recovered, {B('count(CASE WHEN group_id % 7 = 3 THEN 1 END)')} AS skipped, {B('sum(CASE WHEN group_id % 7 = 3 THEN n ELSE 0 END)')} AS reads_lost FROM {_GROUPS} AS g",

@@ -336,6 +336,24 @@ QUERIES = [
 
 _N = "sum(length(seq) - length(replace(seq, '{0}', '')))".format
 _Q = "(SELECT ascii(substr(qual, i, 1)) - 33 AS q FROM (SELECT qual, @EX(length(qual))@ AS i FROM reads))"
+#: DuckDB SQL of splitmix64 and of a k-mer's number, by unsigned arithmetic in 128 bits.
+_WRAP = "CAST(({}) % 18446744073709551616 AS UBIGINT)".format
+_TIMES = lambda z, m: _WRAP(f"CAST({z} AS UHUGEINT) * {m}")
+_FOLD = "xor({0}, {0} >> {1})".format
+_HASHED = lambda source, out: f"SELECT * EXCLUDE (z0, z1, z2), {_FOLD('z2', 31)} AS {out} FROM (SELECT *, {_TIMES(_FOLD('z1', 27), 0x94D049BB133111EB)} AS z2 FROM (SELECT *, {_TIMES(_FOLD('z0', 30), 0xBF58476D1CE4E5B9)} AS z1 FROM (SELECT *, {_WRAP(f'CAST(v AS UHUGEINT) + {0x9E3779B97F4A7C15}')} AS z0 FROM ({source}))))"
+_NUMBER = lambda column, k: f"CAST(list_sum(list_transform(range(1, {k + 1}), lambda i: (strpos('ACGT', substr({column}, i, 1)) - 1) * CAST(pow(4, {k} - i) AS BIGINT))) AS UBIGINT)"
+_STRANDS = lambda k: f"SELECT read_id, length, pos, least(f, r) AS v, f <= r AS forward FROM (SELECT read_id, length, pos, {_NUMBER('kmer', k)} AS f, {_NUMBER(_RC('kmer'), k)} AS r FROM (SELECT read_id, length(seq) AS length, i - 1 AS pos, substr(seq, i, {k}) AS kmer FROM (SELECT read_id, seq, unnest(range(1, length(seq) - {k - 2})) AS i FROM reads WHERE length(seq) >= {k})) WHERE NOT regexp_matches(kmer, '[^ACGT]'))"
+_RC = "reverse(translate({}, 'ACGT', 'TGCA'))".format
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN CAST({0} AS HUGEINT) - 18446744073709551616 ELSE CAST({0} AS HUGEINT) END AS BIGINT)".format
+_MINIMIZERS = f"""SELECT read_id, {_SIGNED('h')} AS hash, CAST(pos AS BIGINT) AS pos, forward, length FROM (
+  SELECT b.read_id, b.h, b.at AS pos, s.forward, s.length, lag(b.h) OVER (PARTITION BY b.read_id ORDER BY b.i) AS last FROM (
+    SELECT read_id, i, CAST(m // 1048576 AS UBIGINT) AS h, 1048575 - CAST(m % 1048576 AS BIGINT) AS at FROM (
+      SELECT read_id, pos AS i, min(CAST(h AS UHUGEINT) * 1048576 + CAST(1048575 - pos AS UHUGEINT)) OVER (PARTITION BY read_id, run ORDER BY pos RANGE BETWEEN 18 PRECEDING AND CURRENT ROW) AS m
+      FROM (SELECT *, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS run FROM ({_HASHED(_STRANDS(19), 'h')}))) WHERE i >= 18) b
+  JOIN ({_STRANDS(19)}) s ON s.read_id = b.read_id AND s.pos = b.at) WHERE last IS NULL OR last <> h"""
+_SYNCMERS = f"""SELECT k.read_id, {_SIGNED('k.h')} AS hash, CAST(k.pos AS BIGINT) AS pos, k.forward, k.length FROM ({_HASHED(_STRANDS(15), 'h')}) k JOIN (
+  SELECT read_id, pos, small, min(small) OVER w AS least, last_value(small) OVER w AS final FROM ({_HASHED(_STRANDS(5), 'small')}) WINDOW w AS (PARTITION BY read_id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 10 FOLLOWING)) s
+  ON s.read_id = k.read_id AND s.pos = k.pos WHERE small = least OR final = least"""
 _LAST = "(SELECT max(read_id) FROM reads)"
 _CK = "(SELECT id, i - 1 AS pos, substr(seq, i, 15) AS f FROM (SELECT id, seq, @EX(length(seq) - 14)@ AS i FROM {}) AS ck)".format
 _HEADS = f"(SELECT * FROM (SELECT id, pos, f, row_number() OVER (PARTITION BY f ORDER BY id, pos) AS n FROM {_CK('contigs')} AS c0 WHERE pos + 15 <= 64) WHERE n <= 16)"
@@ -356,6 +374,8 @@ ORACLES = {
     "s28_sam_scan": "SELECT read_id, split_part(name, ' ', 1) AS qname, read_id % 16 * 128 AS flag, seq FROM reads WHERE (read_id % 16 * 128) & 2304 = 0",
     "s29_report_json": "SELECT concat('{\"reads\":', count(*), ',\"bases\":', sum(length(seq)), '}') AS line FROM reads",
     "p24_refusals": "SELECT unnest(['as it is', 'version', 'feature']) AS manifest, unnest([TRUE, FALSE, FALSE]) AS taken",
+    "w06_exact_minimizers": _MINIMIZERS,
+    "w07_exact_syncmers": _SYNCMERS,
     "c04_lzma_sequence": f"SELECT group_id, CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored FROM {_GROUPED('seq')}",
     "c02_order_k_sequence": f"SELECT group_id, k, CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored FROM {_GROUPED('seq')}, (VALUES (6), (13)) AS t(k)",
     "c05_quality_codecs": f"SELECT group_id, beside, CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored FROM {_GROUPED('qual')}, (VALUES (TRUE), (FALSE)) AS t(beside)",
