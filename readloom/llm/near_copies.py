@@ -220,7 +220,7 @@ def _similar(scratch: Scratch, pairs: DataFrame, texts: DataFrame, similarity: f
     numbered = pairs.withColumn("pair", F.monotonically_increasing_id())
     part = lambda side, t: F.struct(F.col(t).alias("tid"), F.struct("pair", F.lit(side).alias("side")).alias("part"))
     parts = numbered.select(F.explode(F.array(part(0, "x"), part(1, "y"))).alias("p")).select("p.*")
-    sides = _with_texts(texts, parts, "part", "parts").select("tid", "text", "parts").mapInArrow(_whole_rows, "pair bigint, side int, tid bigint, text binary")
+    sides = _with_texts(scratch, texts, parts, "part", "parts").mapInArrow(_whole_rows, "pair bigint, side int, tid bigint, text binary")
     out = scratch.cut(sides.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_checked_rows(similarity), "x bigint, y bigint"))
     scratch.release()
     return out
