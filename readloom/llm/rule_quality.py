@@ -140,6 +140,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
         p = 1 / (1 + np.exp(-margin))
         _grow(x, cuts, bins, y - p, p * (1 - p), np.arange(len(y)), depth, (), rules, margin)
     rules = sorted(rules)
+    if not rules:  # no cut tells the labels apart
+        return RuleModel(bias, ())
     a = np.stack([_holds(r, x) for r in rules], 1).astype(np.float64)
     a, kept = np.unique(a, axis=1, return_index=True)
     rules = [rules[i] for i in kept]
