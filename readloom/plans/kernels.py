@@ -270,9 +270,9 @@ def j14_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f23_wavefront(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours in the table, by furthest-reaching points."""
-    pairs = _sql(spark, sf_dir, "SELECT a.read_id, a.seq AS ref, b.seq AS read FROM reads_overlap a JOIN (SELECT read_id - 1 AS p, seq FROM reads_overlap) b ON a.read_id = b.p WHERE a.true_pos < 4000")
-    return wavefront_aligned(pairs.repartition("read_id")).select("read_id", "edits", "restored")
+    """Reads against what they are without three bases before and with three behind."""
+    pairs = _sql(spark, sf_dir, "SELECT read_id, concat(substr(seq, 4, 97), 'ACG') AS ref, seq AS read FROM reads_overlap")
+    return wavefront_aligned(pairs).select("read_id", "edits", "restored")
 
 
 def a15_xxh3_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +384,7 @@ ORACLES = {
     "c17_clustered_layout": "SELECT read_id, seq FROM reads_overlap",
     "c08_rans_quality": f"SELECT group_id, o AS \"order\", CAST(raw AS BIGINT) AS raw_bytes, TRUE AS restored, TRUE AS smaller FROM {_GROUPED('qual')}, (VALUES (0), (1)) AS t(o)",
     "c13_packed_sequence": f"SELECT group_id, CAST(raw AS BIGINT) AS raw_bytes, CAST(16 + 9 * odd + ceil(raw / 4.0) AS BIGINT) AS packed_bytes, TRUE AS restored FROM {_GROUPED('seq')}",
-    "f23_wavefront": "SELECT a.read_id, CAST(levenshtein(a.seq, b.seq) AS BIGINT) AS edits, TRUE AS restored FROM reads_overlap a JOIN (SELECT read_id - 1 AS p, seq FROM reads_overlap) b ON a.read_id = b.p WHERE a.true_pos < 4000",
+    "f23_wavefront": "SELECT read_id, CAST(levenshtein(concat(substr(seq, 4, 97), 'ACG'), seq) AS BIGINT) AS edits, TRUE AS restored FROM reads_overlap",
     "j08_contig_successors": f"""SELECT a, b, shift, overlap, mism FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, mism, b, shift) AS rn FROM (
       SELECT a, b, shift, overlap, CAST(hamming(substr(sa, CAST(shift + 1 AS BIGINT), overlap), substr(sb, 1, overlap)) AS BIGINT) AS mism FROM (
         SELECT p.a, p.b, p.shift, length(x.seq) - p.shift AS overlap, x.seq AS sa, y.seq AS sb FROM (SELECT DISTINCT t.id AS a, h.id AS b, t.pos - h.pos AS shift FROM {_CK('contigs')} AS t JOIN {_HEADS} AS h ON t.f = h.f AND t.id <> h.id AND t.pos > h.pos) p
