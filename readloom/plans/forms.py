@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import batches
 from ..operators.ordering import as_of, numbered, running_sum, with_previous
+from ..sources.scratch import written
 from .catalog import PLANS, SKETCH_SQL
 from .views import TOKEN_OP_SQL, TOKEN_VALUE_SQL, binned, to_spark
 
@@ -41,7 +42,7 @@ def _least(k: int = 15) -> str:
 
 def cluster_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orientation and anchor of every read, by its smallest canonical k-mer."""
-    rows = view(spark, sf_dir, "SELECT read_id, seq FROM reads_overlap").withColumn("m", F.expr(_least()))
+    rows = written(view(spark, sf_dir, "SELECT read_id, seq FROM reads_overlap").withColumn("m", F.expr(_least())))  # else it is found anew for every use of m
     flip = F.coalesce(F.col("m.flip"), F.lit(0))
     anchor = F.when(F.col("m").isNull(), 0).when(flip == 1, F.length("seq") - (F.col("m.i") - 1) - 15).otherwise(F.col("m.i") - 1)
     return rows.select("read_id", F.col("m.canon").alias("canon"), flip.alias("flip"), anchor.cast("long").alias("anchor"), F.when(flip == 1, F.expr(_RC("seq"))).otherwise(F.col("seq")).alias("oriented"))
