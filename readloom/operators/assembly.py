@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .align import banded
 from .contigs import consensus, cover
 from .graph import components
@@ -117,11 +119,104 @@ def placements(reads: DataFrame, contigs: DataFrame, k: int = K) -> DataFrame:
     return both.select("read", "contig", "off", "overlap", "mism", good.alias("good"), "rs", "cs")
 
 
+#: Bases of contigs that a task holds with their k-mers, how many times so many are
+#: gone through before a join is cheaper, and bases compared at a time.
+PART, PASSES, COMPARED = 1 << 23, 16, 1 << 24
+_NUMBER = np.full(256, 4, np.uint8)
+for _i, _b in enumerate(b"ACGT"):
+    _NUMBER[[_b, _b + 32]] = _i
+
+
+class Placer:
+    """Contigs in memory, with the places of their k-mers of A, C, G and T."""
+
+    def __init__(self, ids: list[int], seqs: list[str], k: int) -> None:
+        self.k, self.ids, texts = k, np.array(ids, np.int64), [s.encode("latin-1") for s in seqs]
+        self.starts = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        self.text = np.frombuffer(b"".join(texts), np.uint8)
+        code, good = self._codes(self.text)
+        of = np.repeat(np.arange(len(texts)), np.diff(self.starts))[: len(code)]
+        at = np.flatnonzero(good & (np.arange(len(code)) + k <= self.starts[1:][of]))
+        order = at[np.argsort(code[at], kind="stable")]
+        self.at, self.of = order.astype(np.int32), of[order].astype(np.int32)
+        self.code, first = np.unique(code[order], return_index=True)
+        self.first, self.padded = np.append(first, len(order)), self.text
+
+    def _codes(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number, n = _NUMBER[text], max(len(text) - self.k + 1, 0)
+        out, odd = np.zeros(n, np.int64), np.concatenate(([0], np.cumsum(number > 3)))
+        for j in range(self.k):
+            out = out << 2 | number[j : j + n] & 3
+        return out, odd[self.k :] == odd[:n] if n else np.empty(0, bool)
+
+    def best(self, seq: str) -> tuple[int, int, int, int] | None:
+        """(contig, off, overlap, mism) of the best good place of a read."""
+        read, n = np.frombuffer(seq.encode("latin-1"), np.uint8), len(seq)
+        code, good = self._codes(read)
+        places, found = np.flatnonzero(good[:: self.k]) * self.k, []
+        for p, c in zip(places.tolist(), code[places].tolist(), strict=True):
+            i = int(np.searchsorted(self.code, c))
+            if i < len(self.code) and self.code[i] == c:
+                at, of = self.at[self.first[i] : self.first[i + 1]], self.of[self.first[i] : self.first[i + 1]]
+                fits = at - p >= self.starts[of]
+                found.append((at[fits].astype(np.int64) - p) << 32 | of[fits])
+        if not found:
+            return None
+        met = np.unique(np.concatenate(found))
+        begin, of = met >> 32, met & 0xFFFFFFFF
+        overlap = np.minimum(self.starts[of + 1] - begin, n)
+        enough = overlap >= min(PLACE_OVERLAP, n)
+        begin, of, overlap = begin[enough], of[enough], overlap[enough]
+        if len(self.padded) < len(self.text) + n:
+            self.padded = np.concatenate((self.text, np.zeros(n, np.uint8)))
+        windows, mism, step = np.lib.stride_tricks.sliding_window_view(self.padded, n), np.empty(len(begin), np.int64), max(1, COMPARED // n)
+        for i in range(0, len(begin), step):
+            unlike = (windows[begin[i : i + step]] != read) & (np.arange(n) < overlap[i : i + step, None])
+            mism[i : i + step] = np.count_nonzero(unlike, axis=1)
+        good = np.flatnonzero((mism <= overlap // 4) & (2 * mism < overlap))
+        if not len(good):
+            return None
+        off = begin - self.starts[of]
+        i = good[np.lexsort((off[good], -self.ids[of[good]], mism[good]))[0]]
+        return int(self.ids[of[i]]), int(off[i]), int(overlap[i]), int(mism[i])
+
+
+_PLACED = "seq string, contig long, off int, overlap int, mism int"
+
+
+def _placed_texts(texts: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
+    """Best places of texts among contigs that fit in a task's memory."""
+    table = contigs.select("id", "seq").where("seq IS NOT NULL").toArrow()
+    held = texts.sparkSession.sparkContext.broadcast(Placer(table.column("id").to_pylist(), table.column("seq").to_pylist(), k))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(s, *m) for s in frame["seq"] if (m := held.value.best(s))]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PLACED.split(", ")])
+
+    return texts.mapInPandas(run, _PLACED)
+
+
 def placed(reads: DataFrame, contigs: DataFrame, k: int = K) -> DataFrame:
     """(read, contig, off, overlap, mism): the best place of each read that has
-    a good one: fewest mismatches, then the latest contig, then the first place."""
-    best = placements(reads, contigs, k).where("good").groupBy("read").agg(F.min(F.struct("mism", (-F.col("contig")).alias("c"), "off", "overlap")).alias("m"))
-    return best.select("read", (-F.col("m.c")).alias("contig"), "m.off", "m.overlap", "m.mism")
+    a good one: fewest mismatches, then the latest contig, then the first place.
+    Equal reads are placed once; contigs are held in memory, part by part."""
+    place = F.min(F.struct("mism", (-F.col("contig")).alias("c"), "off", "overlap")).alias("m")
+    fields = [(-F.col("m.c")).alias("contig"), "m.off", "m.overlap", "m.mism"]
+    n = -(-(contigs.agg(F.sum(F.length("seq"))).first()[0] or 0) // PART)
+    if n > PASSES:
+        best = placements(reads, contigs, k).where("good").groupBy("read").agg(place)
+        return best.select("read", *fields)
+    spark = reads.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    reads = written(reads.select("id", "seq"))  # else filters on seq go below what spreads the reads, and it is made anew
+    texts = written(reads.select("seq").where("seq IS NOT NULL AND seq <> ''").repartition(tasks, "seq").distinct())
+    cuts = sorted(set(contigs.approxQuantile("id", [i / n for i in range(1, n)], 0.001))) if n > 1 else []
+    parts = [contigs.where((F.col("id") >= low if low is not None else F.lit(True)) & (F.col("id") < high if high is not None else F.lit(True))) for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
+    found = reduce(DataFrame.unionByName, [_placed_texts(texts, part, k) for part in parts])
+    if len(parts) > 1:
+        found = found.groupBy("seq").agg(place).select("seq", *fields)
+    return reads.select(F.col("id").alias("read"), "seq").join(found, "seq").select("read", "contig", "off", "overlap", "mism")
 
 
 def referenced(reads: DataFrame, contigs: DataFrame, k: int = K) -> DataFrame:

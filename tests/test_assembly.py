@@ -165,3 +165,28 @@ def test_placing_and_the_indel_probe(spark):
     probe = A.indel_probe(frame(reads), frame(contigs)).first()
     assert (probe.reads, probe.literals, probe.rescuable, probe.novel, probe.rescuable_bases, probe.literal_bases) == (5, 2, 1, 1, 102, 202)
     assert A.gapped("ACGTACGT", "ACGACGT") == (1, 1) and A.gapped("ACGT", "ACGT") == (0, 0) and A.gapped("", "AC") == (2, 2) and A.gapped("ACCT", "ACG") == (1, 0)
+
+
+@pytest.mark.parametrize(("part", "passes"), [(1 << 23, 16), (150, 99), (150, 1)])
+def test_places_in_memory_in_parts_and_by_a_join_are_the_same(spark, monkeypatch, part, passes):
+    rng = random.Random(8)
+    contigs = [(i, GENOME[a : a + 90]) for i, a in enumerate(rng.randrange(200) for _ in range(12))] + [(20, "ACG"), (21, ""), (22, GENOME[:40] + "N" + GENOME[41:90].lower())]
+    reads = [(i, "".join("A" if rng.random() < 0.05 else b for b in GENOME[a : a + rng.choice([16, 40, 90])])) for i, a in enumerate(rng.randrange(240) for _ in range(60))]
+    reads += [(i + 100, s) for i, s in reads[:9]] + [(200, None), (201, ""), (202, "ACGTNACGT"), (203, GENOME[:60].lower())]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, seq string")
+    found = A.placements(frame(reads), frame(contigs)).where("good").collect()
+    want = {}
+    for r in found:
+        key = (r.mism, -r.contig, r.off, r.overlap)
+        want[r.read] = min(want.get(r.read, key), key)
+    monkeypatch.setattr(A, "PART", part)
+    monkeypatch.setattr(A, "PASSES", passes)
+    got = {r.read: (r.mism, -r.contig, r.off, r.overlap) for r in A.placed(frame(reads), frame(contigs)).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_reads_are_placed_without_a_row_for_each_candidate(spark):
+    contigs = spark.range(1500).selectExpr("id", f"substr('{GENOME}', CAST(1 + id % 40 AS INT), 100) AS seq")
+    reads = spark.range(1500).selectExpr("id", f"substr('{GENOME}', CAST(1 + id % 40 AS INT), 90) AS seq")
+    plan = A.placed(reads, contigs)._jdf.queryExecution().toString()
+    assert "zip_with" not in plan and plan.count("Join") and {(r.contig, r.mism) for r in A.placed(reads, contigs).where("read = 0").collect()} == {(1480, 0)}
