@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -72,3 +74,37 @@ def test_overlaps_find_what_was_cut_from_one_place(spark):
     assert all(abs(q - t) * 40 < 200 for q, t in near)
     assert {(i, i + 1) for i in range(19)} <= near
     assert all(r.same == ((r.q - r.t) % 2 == 0) for r in got)
+
+
+def test_chains_of_many_pairs_side_by_side():
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(600):
+        n = rng.choice([0, 1, 2, 3, 4, 6, 10, 14, 23, 24, 25, 30])
+        some = [(100 + rng.randrange(6) * 10 + 9 * i, i * rng.choice([7, 9, 11])) for i in range(n)] if rng.random() < 0.5 else [(rng.randrange(200), rng.randrange(200)) for _ in range(n)]
+        far = 6000 if rng.random() < 0.2 else 0
+        pairs.append(sorted((t + (far if i > n // 2 else 0), q) for i, (t, q) in enumerate(some)))
+    at = np.array([x for p in pairs for x in p], np.int64)
+    got = overlap.chains_beside(at[:, 0], at[:, 1], np.array([len(p) for p in pairs]), 19)
+    want = [(i, *c) for i, p in enumerate(pairs) for c in overlap.chains(p, 19)]
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == want and len(want) > 300
+
+
+@pytest.mark.parametrize(("part", "passes"), [(1 << 22, 16), (300, 99)])
+@pytest.mark.parametrize("last", [False, True])
+def test_best_chains_are_those_of_all_pairs(spark, monkeypatch, part, passes, last):
+    rng = random.Random(6)
+    cut = [GENOME[a : a + 160] for a in (rng.randrange(300) for _ in range(25))]
+    cut += [GENOME[10:90] + GENOME[10:90], *cut[:8]]
+    rows = [(i, s if i % 2 else s[::-1].translate(RC)) for i, s in enumerate(cut)]
+    found = sketch.seeds(spark.createDataFrame(rows, "read_id long, seq string")).localCheckpoint()
+    index = overlap.seed_index(found).localCheckpoint()
+    all_of = [tuple(r) for r in overlap.chained(overlap.anchors(found, index, 19), 19).collect()]
+    want = []
+    for q in {r[0] for r in all_of}:
+        mine = sorted((r for r in all_of if r[0] == q), key=lambda r: (-r[3], -r[1] if last else r[1], r[5], r[2]))
+        want += [(*r, i) for i, r in enumerate(mine[:5], 1)]
+    monkeypatch.setattr(overlap.marks, "PART", part)
+    monkeypatch.setattr(overlap.marks, "PASSES", passes)
+    got = [tuple(r) for r in overlap.best_chains(found, index, 19, 5, last).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
