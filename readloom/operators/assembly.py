@@ -21,7 +21,7 @@ from .align import banded
 from .contigs import consensus, cover
 from .graph import components
 from .ordering import numbered
-from .overlap import anchors, chained
+from .overlap import best_chains
 from .sketch import PRESETS, seeds
 
 #: K-mers of contigs; of a merge the indexed prefix, the probed
@@ -420,9 +420,8 @@ def best_reference(reads: DataFrame, references: DataFrame, preset: str = "hifi"
     read, turned if flip, begins; drift: by how much the chain's ends are off
     one diagonal. No seed of a reference is filtered."""
     k = PRESETS[preset][1]
-    index = seeds(references, preset).withColumn("read_id", -1 - F.col("read_id"))  # never a read's own id
-    found = chained(anchors(seeds(reads, preset), index, k), k)
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("t"), "q_start", "same"))).where("n = 1")
+    index = written(seeds(references, preset).withColumn("read_id", -1 - F.col("read_id")))  # never a read's own id
+    best = best_chains(seeds(reads, preset), index, k, 1, last=True).drop("rank")
     best = best.withColumn("ref", -1 - F.col("t")).join(references.select(F.col("read_id").alias("ref"), F.length("seq").alias("rlen")), "ref").join(reads.select(F.col("read_id").alias("q"), F.length("seq").alias("len")), "q")
     straight = F.col("t_start") - F.col("q_start")
     offset = F.greatest(F.lit(0), F.when(F.col("same"), straight).otherwise(F.col("rlen") - straight - F.col("len")))
