@@ -117,7 +117,7 @@ PLANS: dict[str, str] = {
     "j01_mate_zip": "SELECT a.spot, a.name AS name1, b.name AS name2, length(a.seq) = length(b.seq) AS same_len FROM (SELECT read_id @DIV 2 AS spot, name, seq FROM reads WHERE read_id % 2 = 0) a FULL OUTER JOIN (SELECT read_id @DIV 2 AS spot, name, seq FROM reads WHERE read_id % 2 = 1) b ON a.spot = b.spot",
     "j02_distortion_lockstep": f"SELECT round(avg(d), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round(100.0 * count(CASE WHEN d > 0 THEN 1 END) / count(*), 6) AS pct FROM {_DIFF} AS x",
     "j03_distortion_by_name": f"SELECT {B('count(*)')} AS matched, {B('sum(CASE WHEN o.qual = r.rt THEN 1 ELSE 0 END)')} AS same FROM reads o JOIN (SELECT name, max_by(rt, read_id) AS rt FROM (SELECT read_id, name, {binned('bin4')} AS rt FROM reads) GROUP BY name) r ON o.name = r.name",
-    "j04_shared_seeds": f"WITH {_INDEX_O} SELECT q, t, {B('n')} AS n FROM ({_SHARED})",
+    "j04_shared_seeds": f"WITH seeds AS (SELECT * FROM {_SKETCH(_C15O)} AS sk) SELECT q, t, {B('n')} AS n FROM ({_SHARED.replace('JOIN entries t', 'JOIN seeds t')})",
     "j05_fanout_cap": f"WITH {_INDEX_O} SELECT h, read_id, {B('pos')} AS pos, strand FROM entries",
     "j06_repeat_filter": f"WITH {_INDEX_O} SELECT c.h, {B('c.n')} AS n FROM counts c LEFT JOIN frequent f ON c.h = f.h WHERE f.h IS NULL",
     "j07_unpermute": f"WITH o AS ({_ORDERED}) SELECT o.pos, r.read_id, r.seq = CASE WHEN o.flip = 1 THEN {_RC('o.oriented')} ELSE o.oriented END AS restored FROM o JOIN reads_overlap r ON o.read_id = r.read_id",

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.operators import marks
-from readloom.plans.views import GENOME
+from readloom.plans import registry
+from readloom.plans.views import GENOME, to_spark
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -101,3 +102,15 @@ def test_shared_in_memory_in_parts_and_joined(lists, monkeypatch, part, passes):
         mine = sorted((b[1], a[3] == b[3], b[2], a[2]) for a, b in met if a[1] == q)
         digests[q], counted[q] = sum(i * (1000 * t + p) for i, (_, _, t, p) in enumerate(mine, 1)), len(mine)
     assert {r.q: (r.anchors, r.order_digest) for r in marks.ordered_anchors(lists, found).collect()} == {q: (counted[q], digests[q]) for q in counted}
+
+
+def test_all_that_share_seeds_are_paired(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(marks, "REPEATS", 4)  # neither hashes nor occurrences of a hash are left out
+    period = 3996 * 97  # of the view: event_id and event_id + period are equal reads
+    ids = [*(5 + i * period for i in range(700)), 3996 * 2 + 5, 40, 111]
+    spark.createDataFrame([(i,) for i in ids], "event_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    seqs = {r.read_id: r.seq for r in spark.sql(to_spark("SELECT read_id, seq FROM reads_overlap", str(tmp_path))).collect()}
+    known = {s: Counter(m[0] for m in slow(s)) for s in set(seqs.values())}
+    shared = {(a, b): sum(n * known[b][k] for k, n in known[a].items()) for a in known for b in known}
+    want = {(q, t): n for q in ids for t in ids if q != t and (n := shared[seqs[q], seqs[t]]) >= 3}
+    assert len(want) >= 700 * 699 and {(r.q, r.t): r.n for r in registry.queries()["j04_shared_seeds"](spark, str(tmp_path)).collect()} == want
